@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfold.llm import decontaminate, licenses, packing, quality, sharding, simhash
+from spanfold.llm import ann, chat, decontaminate, html, licenses, packing, quality, sharding, simhash, warc
 
 SHARDS = 64
 
@@ -23,10 +23,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), SHARDS, seed=7)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_warc(table(spark, sf_dir, "pages"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reconstruct(chat.turns_to_events(table(spark, sf_dir, "conversations")))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,7 +60,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
@@ -57,4 +77,9 @@ WITH r AS (
   FROM documents),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * size), source) - 1 AS shard_pos, count(*) OVER () AS total FROM r)
 SELECT doc_id, text, lang, source, n_chars, CAST(shard_pos * {SHARDS} // total AS INTEGER) AS shard, shard_pos FROM p""",
+    "op7_chat_formatting": """
+WITH t AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(text, '') DESC, role DESC) = 1)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
+  string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
+FROM t GROUP BY conv_id""",
 }
