@@ -35,7 +35,7 @@ def plain_words(text: str) -> list[str]:
 
 # --- configurations ------------------------------------------------------------------------------------------------
 
-_FOLDED = {"ø": "o", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ł": "l", "đ": "d", "ħ": "h", "ı": "i", "ŧ": "t", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
+_FOLDED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "æ": "ae", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ł": "l", "œ": "oe", "ø": "o", "ŧ": "t", "þ": "th"}
 _FOLDING = str.maketrans(_FOLDED)
 _MARKS = regex.compile(r"\p{M}+")
 
