@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanfold.functions.text import LAST_POSITION, LONGEST, MOST_POSITIONS, PLAIN, Analyzer, TextConfig, source
+from spanfold.storage import remove, written
 
 VECTOR = "map<string,array<int>>"
 _ENTRIES = "array<struct<lexeme:string,positions:array<int>>>"
@@ -99,11 +100,17 @@ def build_postings(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple"
     return made.select(id_col, F.inline("entries"))
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Store an index sorted by lexeme, so that a query's conditions skip files and row groups."""
+def write_postings(postings: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite", id_col: str = "doc_id") -> None:
+    """Store an index sorted by lexeme, so that a query's conditions skip files and row groups.
+
+    Ranges are of (lexeme, id): a lexeme that is in most documents is spread over as many files as it needs. The postings are
+    staged in the shared folder first, as choosing ranges would otherwise read every text once more.
+    """
+    staged = written(postings, "staged")
     parts = [partitions] if partitions else []
-    ranged = postings.repartitionByRange(*parts, "lexeme").sortWithinPartitions("lexeme")
+    ranged = staged.repartitionByRange(*parts, "lexeme", id_col).sortWithinPartitions("lexeme", id_col)
     ranged.write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.enabled#lexeme", "true").parquet(path)
+    remove(staged)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
