@@ -1,50 +1,18 @@
-"""What the operators of this subpackage share: the shared folder, tables written to it, and tokens."""
+"""What the operators of this subpackage share: tables in the shared folder, columns, and tokens."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Only a session on one machine may lack it; it then gets a folder of its own.
-    """
-    name = "spark.checkpoint.dir"
-    found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="spanfold-")
-    spark.conf.set(name, own)
-    return own
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from spanfold.storage import remove, written
 
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by written()."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+WORD = re.compile(r"\w+")
 
 
 def with_columns(df: DataFrame, new: dict) -> DataFrame:
@@ -53,12 +21,6 @@ def with_columns(df: DataFrame, new: dict) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in low), *(v.alias(k) for k, v in new.items()))
 
 
-def row_key(*columns: str):
-    """A string that is equal for rows that agree in all the columns; nulls agree with nulls."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in columns]
-    return F.concat_ws("\x1f", *parts)
-
-
 def list_parts(arr: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets from 0 and flat values of a list array, sliced or not."""
     offsets = arr.offsets.to_numpy().astype(np.int64)
@@ -95,3 +57,6 @@ def tokenize(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     codes = np.asarray(words, np.int64)[spread(starts[raw], lengths)]
     ends = np.concatenate([[0], np.cumsum(lengths)])
     return codes, list(vocabulary), ends[offsets]
+
+
+__all__ = ["WORD", "list_parts", "remove", "spread", "tokenize", "with_columns", "written"]

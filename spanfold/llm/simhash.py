@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 
 from spanfold.llm.common import tokenize, with_columns, written
 
-BITS = 128
-#: Bits in which near duplicates may differ. Unrelated texts differ in 64 on average, with a deviation of 5.7.
-RADIUS = 24
+BITS = 256
+WORDS = BITS // 64
+#: Bits in which near duplicates may differ. Unrelated texts differ in 128 on average, with a deviation of 8.
+RADIUS = 60
+#: Bits in which any 64 of them may differ, so that most pairs are decided by one word of the fingerprint.
+WORD_RADIUS = 22
+#: Texts whose words are in memory at once.
+SLICE = 2_048
 #: Fingerprints of a tile in cache, and rows compared with it at once.
 TILE, ROWS = 4_096, 64
 #: Sizes between which a cell's side is chosen: an eighth of the fingerprints, so that cells are many but few copies of each are sent.
 SIDES = (4_096, 262_144)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_STEPS = np.arange(WORDS, dtype=np.uint64) * _A
 #: Each bit of a byte in a byte of its own, so that up to 255 of these add up without carry.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -32,8 +38,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed_bits(features: np.ndarray) -> np.ndarray:
+    """(features, 32) bytes, independent for each feature."""
+    return np.stack([mix(features + k) for k in _STEPS], 1).view(np.uint8)
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, 16) bytes of the texts' fingerprints, and whether a row has one (it has at least a word)."""
+    """(rows, 32) bytes of the texts' fingerprints, and whether a row has one (it has at least a word)."""
     codes, vocabulary, offsets = tokenize(texts)
     rows = len(texts)
     out = np.zeros((rows, BITS // 8), np.uint8)
@@ -59,15 +70,15 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     nth = np.arange(len(block_text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     block_start = starts[some][block_text] + 255 * nth
     ones = np.zeros((len(some), BITS), np.int64)
-    step = 2_048
+    step = 256
     for a in range(0, len(block_start), step):
         lo, hi = block_start[a], block_start[a + step] if a + step < len(block_start) else len(hashed)
         h = hashed[lo:hi]
-        raw = np.stack([mix(h), mix(h ^ _A)], 1).view(np.uint8)
+        raw = hashed_bits(h)
         sums = np.add.reduceat(_SPREAD[raw], block_start[a : a + step] - lo, axis=0)
         np.add.at(ones, block_text[a : a + step], sums.view(np.uint8).reshape(len(sums), BITS))
     least = np.minimum.reduceat(hashed, starts[some])
-    tied = np.unpackbits(np.stack([mix(least), mix(least ^ _A)], 1).view(np.uint8), axis=1)
+    tied = np.unpackbits(hashed_bits(least), axis=1)
     total = features[some][:, None]
     bits = np.where(2 * ones == total, tied, 2 * ones > total)
     out[some] = np.packbits(bits.astype(np.uint8), axis=1)
@@ -75,13 +86,13 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """docs with the 16 bytes of each text's fingerprint, null where the text has no word."""
+    """docs with the 32 bytes of each text's fingerprint, null where the text has no word."""
 
     @F.arrow_udf("binary")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            made, some = fingerprints(texts)
-            yield pa.array([r.tobytes() if s else None for r, s in zip(made, some)], pa.binary())
+            parts = [fingerprints(texts.slice(at, SLICE)) for at in range(0, len(texts), SLICE)]
+            yield pa.array([r.tobytes() if s else None for made, some in parts for r, s in zip(made, some)], pa.binary())
 
     return docs.withColumn(name, fingerprint(F.col(f"`{text_col}`").cast("string")))
 
@@ -104,36 +115,38 @@ def fold_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = further
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of a and b, (n, 2) numbers in order of population count, that differ in at most radius bits.
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, word_radius: int = WORD_RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a and b, (n, WORDS) numbers in order of population count, that differ in at most radius bits, and in
+    no word by more than word_radius.
 
-    Tiles whose population counts (of the whole, or summed over the two halves) differ beyond the radius are
-    skipped; in the others every pair is compared, first in one half and, where that allows it, in both.
+    Tiles whose population counts exclude that (of the whole, or of words) are skipped; in the others every pair is compared
+    in its first word and, where that allows it, in all.
     """
-    low_high = []
+    tiles = []
     for side in (a, b):
         ones = np.bitwise_count(side).astype(np.int64)
-        cuts = range(0, len(side), TILE)
-        low_high.append([(c, ones[c : c + TILE].min(0), ones[c : c + TILE].max(0), ones[c : c + TILE].sum(1)) for c in cuts])
+        tiles.append([(c, ones[c : c + TILE].min(0), ones[c : c + TILE].max(0), ones[c : c + TILE].sum(1)) for c in range(0, len(side), TILE)])
     x, c = np.empty((ROWS, TILE), np.uint64), np.empty((ROWS, TILE), np.uint8)
-    for p, low, high, sums in low_high[0]:
-        for q, low_b, high_b, sums_b in low_high[1]:
-            gap = np.maximum(0, np.maximum(low - high_b, low_b - high)).sum()
+    for p, low, high, sums in tiles[0]:
+        for q, low_b, high_b, sums_b in tiles[1]:
+            gaps = np.maximum(0, np.maximum(low - high_b, low_b - high))
             whole = max(sums.min() - sums_b.max(), sums_b.min() - sums.max())
-            if max(gap, whole) > radius:
+            if max(gaps.sum(), whole) > radius or gaps.max() > word_radius:
                 continue
             right = b[q : q + TILE]
-            right0 = np.ascontiguousarray(right[:, 0])
+            first = np.ascontiguousarray(right[:, 0])
+            m = len(right)
             for r in range(p, min(p + TILE, len(a)), ROWS):
                 left = a[r : min(r + ROWS, p + TILE)]
-                n, m = len(left), len(right)
-                np.bitwise_xor(left[:, :1], right0[None, :], out=x[:n, :m])
+                n = len(left)
+                np.bitwise_xor(left[:, :1], first[None, :], out=x[:n, :m])
                 np.bitwise_count(x[:n, :m], out=c[:n, :m])
-                hit = np.flatnonzero(c[:n, :m] <= radius) if m == TILE else np.flatnonzero(np.ascontiguousarray(c[:n, :m]) <= radius)
+                hit = np.flatnonzero(np.ascontiguousarray(c[:n, :m]) <= word_radius)
                 if not len(hit):
                     continue
                 i, j = hit // m, hit % m
-                near = c[i, j].astype(np.int64) + np.bitwise_count(left[i, 1] ^ right[j, 1]) <= radius
+                apart = np.bitwise_count(left[i] ^ right[j])
+                near = (apart.max(1) <= word_radius) & (apart.sum(1, dtype=np.int64) <= radius)
                 if near.any():
                     yield r + i[near], q + j[near]
 
@@ -155,12 +168,12 @@ def by_population(numbers: np.ndarray) -> np.ndarray:
 def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int] = SIDES) -> DataFrame:
     """Edges (u, v) between distinct fingerprints, enough to join all within the radius of each other.
 
-    Fingerprints are put in order of population count by arithmetic on the counts of its 129 values, cut
+    Fingerprints are put in order of population count by arithmetic on the counts of their 257 values, cut
     into G sides, and each goes to the cells (g, h) of its side whose population counts allow a pair.
     """
-    ones = (F.bit_count(F.conv(F.hex(F.substring(name, 1, 8)), 16, -10).cast("long")) + F.bit_count(F.conv(F.hex(F.substring(name, 9, 8)), 16, -10).cast("long"))).cast("int")
+    ones = sum(F.bit_count(F.conv(F.hex(F.substring(name, 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(WORDS)).cast("int")
     distinct = prints.select(F.col(name), ones.alias("__ones"))
-    counted = {r["__ones"]: r["count"] for r in distinct.groupBy("__ones").count().collect()}  # 129 values at most
+    counted = {r["__ones"]: r["count"] for r in distinct.groupBy("__ones").count().collect()}  # 257 values at most
     total = sum(counted.values())
     side = min(sides[1], max(sides[0], -(-total // 8)))
     sides_n = max(1, -(-total // side))
@@ -196,7 +209,7 @@ def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # the fingerprints of one cell, or of few
         cell, at = table.column(0).to_numpy(), table.column(1).to_numpy()
-        raw = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(-1, 2)
+        raw = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
         for k in np.unique(cell):
             g, h = cells[k]
             a = by_population(raw[(cell == k) & (at == g)])
@@ -238,8 +251,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sides: tuple[int, int] = SIDES) -> DataFrame:
     """One row for each document: doc_id, text_hash, group_id (least id of its group), group_size and keep.
 
-    A text's fingerprint has 128 bits: the signs of the sums of hashed word pairs. Texts are near duplicates
-    if their fingerprints differ in at most `radius` bits, and groups are the components of that relation.
+    A text's fingerprint has 256 bits: the signs of the sums of hashed word pairs. Texts are near duplicates
+    if their fingerprints differ in at most `radius` bits, at most WORD_RADIUS of them in any of its four words, and
+    groups are the components of that relation.
     Equal fingerprints are merged before anything is compared, then all pairs are compared exactly, in
     tiles, with numpy exclusive-or and bit counts; only tile pairs whose population counts exclude a match are
     skipped. No partner or candidate is dropped.

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanfold.llm.simhash import RADIUS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups
+from spanfold.llm.simhash import RADIUS, WORD_RADIUS, WORDS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups
 from tests.llm import edge
 
 
@@ -24,17 +24,18 @@ def groups_of(pairs, nodes):
 
 def brute(prints, radius):
     n = len(prints)
-    d = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(2)
-    return groups_of([(i, j) for i in range(n) for j in range(i) if d[i, j] <= radius], range(n))
+    d = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :])
+    near = (d.sum(2, dtype=int) <= radius) & (d.max(2) <= WORD_RADIUS)
+    return groups_of([(i, j) for i in range(n) for j in range(i) if near[i, j]], range(n))
 
 
-@pytest.mark.parametrize("radius", [0, 3, 24])
+@pytest.mark.parametrize("radius", [0, 3, RADIUS])
 def test_forest_joins_what_brute_force_joins(radius):
     rng = np.random.default_rng(radius)
-    base = rng.integers(0, 2**64, (150, 2), dtype=np.uint64)
+    base = rng.integers(0, 2**64, (150, WORDS), dtype=np.uint64)
     noisy = base[rng.integers(0, 150, 400)].copy()
     for _ in range(radius // 2 + 1):
-        noisy[np.arange(400), rng.integers(0, 2, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+        noisy[np.arange(400), rng.integers(0, WORDS, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
     prints = by_population(np.unique(np.concatenate([base, noisy]), axis=0))
     want = brute(prints, radius)
     u, v = forest(prints, None, radius)
@@ -75,7 +76,7 @@ def corpus(seed=1, copies=6):
 def test_groups_against_brute_force(spark):
     rows, truth = corpus()
     made, _ = fingerprints(pa.array([r[1] for r in rows]))
-    want = brute(made.view(np.uint64).reshape(-1, 2), RADIUS)
+    want = brute(made.view(np.uint64).reshape(-1, WORDS), RADIUS)
     for sides in ((4096, 262_144), (16, 16)):
         got = {r.doc_id: r.group_id for r in near_groups(edge.table(spark, rows), sides=sides).collect()}
         assert got == want
