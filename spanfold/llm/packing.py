@@ -22,10 +22,12 @@ EOS = 50_256
 WINDOW = 2_048
 #: Bytes of tokens that a partition of the sorted stream should hold.
 PART_BYTES = 32 << 20
+#: Rows of partition sums that are broadcast at most (16 bytes each).
+MOST_BROADCAST = 1_000_000
 #: Tokens of a run, the unit that is stored and cut.
 RUN = 1 << 20
 #: Distinct words whose tokens a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Encoder:
@@ -91,8 +93,8 @@ def token_table(docs: DataFrame, vocabulary: str, eos: int, id_col: str, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                part = batch.slice(at, 4_096)
+            for at in range(0, batch.num_rows, 2_048):
+                part = batch.slice(at, 2_048)
                 tokens, offsets = encoder.batch(part.column(2))
                 some = np.diff(offsets) > 0
                 counts = np.diff(offsets)[some]
@@ -152,7 +154,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, eo
     totals = stream.groupBy("part").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast("long").alias("before"))
-    placed = stream.join(offsets, "part").select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "sizes", "tokens")
+    # a row a partition: the tokens are not to be exchanged for it while it is small
+    placed = stream.join(F.broadcast(offsets) if parts <= MOST_BROADCAST else offsets, "part").select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "sizes", "tokens")
 
     id_type = f"doc_ids array<{kind}>"
     schema = f"window_id long, at int, whole boolean, {id_type}, doc_froms array<bigint>, piece_starts array<int>, tokens array<int>"
