@@ -33,7 +33,7 @@ def plain_words(text: str) -> list[str]:
     return out
 
 
-# --- configurations ------------------------------------------------------------------------------------------------
+# --- configurations
 
 _FOLDED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "æ": "ae", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ł": "l", "œ": "oe", "ø": "o", "ŧ": "t", "þ": "th"}
 _FOLDING = str.maketrans(_FOLDED)
@@ -76,7 +76,7 @@ def register(config: TextConfig) -> None:
     CONFIGS[config.name] = config
 
 
-# --- analyzers -----------------------------------------------------------------------------------------------------
+# --- analyzers
 
 _APOSTROPHES = str.maketrans({"’": "'", "‘": "'", "ʼ": "'"})
 _INVISIBLE = regex.compile("[­​‎‏‪-‮⁠⁦-⁩﻿]+")

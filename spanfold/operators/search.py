@@ -63,7 +63,7 @@ def _split(query: str | Operand, source: str | None) -> tuple[str, str | None]:
     return (query.query, query.source) if isinstance(query, Operand) else (query, source)
 
 
-# --- over vectors --------------------------------------------------------------------------------------------------
+# --- over vectors
 
 
 def _over_map(c: Compiled, tsv: str, presence: bool = False) -> Column:
@@ -176,7 +176,7 @@ def search(query: str | Operand, source: str | None = None, tsv: str = "tsv") ->
     return chosen if decided else chosen & recheck(text, name, tsv)
 
 
-# --- over postings -------------------------------------------------------------------------------------------------
+# --- over postings
 
 
 def hits(postings: DataFrame, c: Compiled) -> DataFrame:
@@ -228,7 +228,7 @@ def search_postings(postings: DataFrame, query: str | Operand, source: str | Non
         return rows.where(F.expr(sql.true(c.tree))).select(id_col)
 
 
-# --- ranking -------------------------------------------------------------------------------------------------------
+# --- ranking
 
 
 def cover_density(lists: list[list[int]]) -> float:

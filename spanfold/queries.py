@@ -38,7 +38,7 @@ def shown(positions: str = "positions"):
     return F.concat_ws(",", F.transform(positions, lambda x: x.cast("string"))).alias("positions")
 
 
-# --- SQL ----------------------------------------------------------------------------------------------------------
+# --- SQL
 
 _TOKENS = f"""words AS (
   SELECT doc_id, flatten(list_transform(regexp_extract_all(lower(text), '{PLAIN}'), lambda x: CASE WHEN contains(x, '-') THEN list_concat([x], string_split(x, '-')) ELSE [x] END)) AS t
@@ -138,7 +138,7 @@ def bare(statement: str) -> str:
     return statement[len(_P) :]
 
 
-# --- queries over the index and the vectors ------------------------------------------------------------------------
+# --- queries over the index and the vectors
 
 
 def tok_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
