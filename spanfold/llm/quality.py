@@ -19,11 +19,11 @@ TRAINING_DOCS = 1_500
 #: Characters of a labelled document that training reads at most.
 TRAINING_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
-#: Compressed bytes at which the evidence of a text counts half: shorter texts draw near the undecided 0.5.
-HALF = 256
+#: Bytes at which the evidence of a text counts half: shorter texts draw near the undecided 0.5.
+HALF = 128
 #: Score under which a document is rejected.
-THRESHOLD = 0.25
-BLOCK = 4_096
+THRESHOLD = 0.3
+BLOCK = 1_024
 LEVEL = 3
 
 
@@ -41,13 +41,15 @@ class Model:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    if not content:
+        return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
     kept = zstandard.ZstdCompressionDict(content)
     kept.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=kept, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def difference(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, int]:
-    """(bytes under the bad dictionary - bytes under the good one) / the larger sum over the text's blocks, and that sum.
+    """(bytes under the bad dictionary - bytes under the good one) / the larger sum over the text's blocks, and the text's bytes.
 
     Each block of BLOCK bytes is compressed by itself, so that a long text is judged by the dictionaries
     throughout and not by its own beginning.
@@ -58,7 +60,7 @@ def difference(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCom
         part = data[at : at + BLOCK]
         g += len(good.compress(part))
         b += len(bad.compress(part))
-    return (b - g) / max(g, b, 1), max(g, b)
+    return (b - g) / max(g, b, 1), len(data)
 
 
 def score_of(text: str, model: Model, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float | None:
@@ -103,7 +105,7 @@ def train(good: list[str], bad: list[str]) -> Model:
     for texts in (good, bad):
         samples, rest = parts(texts)
         try:
-            content = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
+            content = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8).as_bytes()
         except zstandard.ZstdError:  # too few samples to choose from: their end serves as it is
             content = b"".join(samples)[-DICTIONARY_BYTES:]
         dictionaries.append(content)
@@ -132,16 +134,17 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, id_c
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, **columns: str) -> Model:
-    """Train on the bounded labelled sample."""
+    """Train on the bounded labelled sample; where that lacks a class, every text scores the undecided 0.5 and is kept."""
     rows = labelled(docs, labels, most, **columns).toPandas()
-    return train(rows.loc[rows.quality == 1, "text"].tolist(), rows.loc[rows.quality == 0, "text"].tolist())
+    good, bad = (rows.loc[rows.quality == q, "text"].tolist() for q in (1, 0))
+    return train(good, bad) if good and bad else Model(b"", b"", 0.0, 0.0)
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with quality_score, the calibrated probability of good text, and quality_keep, whether it reaches the threshold.
 
-    Whole texts are compressed, block by block, in one narrow pass without exchange. The evidence of a text that
-    compresses to n bytes is weighted by n / (n + HALF), so that a few words alone are not rejected. Null texts and texts
+    Whole texts are compressed, block by block, in one narrow pass without exchange. The evidence of a text of
+    n bytes is weighted by n / (n + HALF), so that a few words alone are not rejected. Null texts and texts
     without a character other than white space have no content to judge: their score is null and they are
     not kept. Ties with the threshold are kept. Repeated rows score alike. Other columns pass through; ones named
     quality_score or quality_keep are replaced. No rows give no rows.

@@ -42,6 +42,13 @@ def test_what_is_learned_from(spark):
     assert len(labelled(docs, labels, most=1).collect()) <= 2
 
 
+def test_without_labels_all_is_undecided(spark):
+    docs, labels = edge.table(spark), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for table, given in ((docs, labels), (docs, labels.limit(0)), (edge.table(spark, []), labels)):
+        scores = {r.quality_score for r in score_quality(table, fit(table, given)).collect()}
+        assert scores <= {0.5, None}
+
+
 def test_both_classes_are_needed():
     with pytest.raises(ValueError):
         train([], ["x"])
