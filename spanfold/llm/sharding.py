@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanfold.llm.common import row_key, with_columns
+from spanfold.llm.common import with_columns
 
 #: Rows of one source that are ranked together in one task; hashed buckets are even, whatever the source's size.
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 4_000
 #: Beyond so many sources, positions come from a second exchange instead of a sum over sources.
 MOST_SOURCES = 2_000
 
@@ -74,9 +74,8 @@ def interleave(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id"
         earlier = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
         starts = placed.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).select("__slot", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
         placed = placed.withColumn("__pos", F.row_number().over(ordered) - 1).join(starts, "__slot").withColumn("__pos", F.col("__pos") + F.col("__start"))
-    shard = F.floor(F.col("__pos") * F.lit(shards) / F.lit(max(total, 1))) if total < 2**40 else F.expr(f"cast(cast(__pos AS decimal(38,0)) * {shards} div {total} AS long)")
-    if total < 2**40:
-        shard = F.expr(f"__pos * {shards}L div {max(total, 1)}L")
+    wide = "bigint" if total * shards < 2**62 else "decimal(38,0)"
+    shard = F.expr(f"cast(__pos AS {wide}) * {shards} div {max(total, 1)}")
     kept = placed.select(F.col("__row"), shard.cast("int").alias("__shard"), F.col("__pos").cast("long").alias("__pos"))
     flat = kept.select(*(F.col("__row").getField(c).alias(c) for c in names), F.col("__shard"), F.col("__pos"))
     return with_columns(flat, {"shard": F.col("__shard"), "shard_pos": F.col("__pos")}).drop("__shard", "__pos")
@@ -91,6 +90,3 @@ def write_shards(df: DataFrame, path: str) -> None:
     """Write an interleaved table as one folder a shard, rows in order of shard_pos."""
     shards = df.agg(F.max("shard")).first()[0]
     df.repartitionById((shards or 0) + 1, F.col("shard")).sortWithinPartitions("shard", "shard_pos").write.partitionBy("shard").parquet(path)
-
-
-__all__ = ["interleave", "row_key", "write_shards"]
