@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -124,13 +125,15 @@ def near_terms(terms: list[str], lists: dict[str, np.ndarray], seen: dict[str, i
             return []
         other = lists.get(t, _NONE)
         at = at[np.searchsorted(other, at + span) > np.searchsorted(other, at - span + 1)]
-    good = []
-    for p in at.tolist():
-        for low in range(p - span + 1, p + 1):
-            if all((k := np.searchsorted(lists[t], low)) < len(lists[t]) and lists[t][k] < low + span for t in order):
-                good.append(p)
+    good = np.zeros(len(at), bool)
+    for low in range(1 - span, 1):  # where the tokens begin, from p on
+        fits = np.ones(len(at), bool)
+        for t in order:
+            fits &= np.searchsorted(lists[t], at + low + span) > np.searchsorted(lists[t], at + low)
+            if not fits.any():
                 break
-    return good
+        good |= fits
+    return at[good].tolist()
 
 
 def stretches(item: list[str], size: int) -> list[list[str]]:
@@ -157,7 +160,7 @@ def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], se
         for n, (p, _) in enumerate(found):
             if last is not None and p <= last:
                 continue
-            inside = [x for x in found[n:] if x[0] < p + reach]
+            inside = found[n : bisect_left(found, (p + reach, -1))]
             if len({k for _, k in inside}) >= need:
                 last = inside[-1][0]
                 yield number, "proximity", p, -1, last - p + 1
