@@ -156,6 +156,18 @@ def cell_of(points: np.ndarray, nodes: list[tuple[int, float]], depth: int) -> n
     return at - ((1 << depth) - 1)
 
 
+def reached(points: np.ndarray, limits: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (point, cell) whose squared distance is within the point's limit, by descent from the root of the outer tree."""
+    row, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+    for _ in range(depth):
+        row, node = np.concatenate([row, row]), np.concatenate([2 * node + 1, 2 * node + 2])
+        q = points[row]
+        gap = (np.maximum(0, np.maximum(low[node] - q, q - high[node])) ** 2).sum(1)
+        near = (gap <= limits[row]) & np.isfinite(gap)
+        row, node = row[near], node[near]
+    return row, node - ((1 << depth) - 1)
+
+
 def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
@@ -181,7 +193,9 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", ve
         raise ValueError("k must be 1 or more")
     spark = table.sparkSession
     kind = table.schema[id_col].dataType.simpleString()
-    vector = F.col(f"`{vector_col}`").cast("array<double>")
+    # float vectors are sent as they are; all arithmetic is in double
+    numbers = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    vector = F.col(f"`{vector_col}`").cast(numbers)
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = table.select(F.col(f"`{id_col}`").alias("id"), vector.alias("v")).where(good & (F.size("v") > 0))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -206,12 +220,13 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", ve
 
     numbered = rows.where(F.size("v") == dims).withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "v")
     # written, so that a row keeps its uid whatever is run again
-    stored = written(numbered.mapInArrow(assign, f"uid long, id {kind}, v array<double>, cell int, " + ", ".join(f"p{d} double" for d in range(m))), "vectors")
+    stored = written(numbered.mapInArrow(assign, f"uid long, id {kind}, v {numbers}, cell int, " + ", ".join(f"p{d} double" for d in range(m))), "vectors")
     boxes = {r["cell"]: r for r in stored.groupBy("cell").agg(*(f(f"p{d}").alias(f"{n}{d}") for d in range(m) for n, f in (("lo", F.min), ("hi", F.max)))).collect()}  # one row a cell
-    low = np.full((cells, m), np.inf)
-    high = np.full((cells, m), np.inf)
+    low, high = np.full((2 * cells - 1, m), np.inf), np.full((2 * cells - 1, m), -np.inf)  # of the tree's nodes, in heap order
     for c, r in boxes.items():
-        low[c], high[c] = [r[f"lo{d}"] for d in range(m)], [r[f"hi{d}"] for d in range(m)]
+        low[cells - 1 + c], high[cells - 1 + c] = [r[f"lo{d}"] for d in range(m)], [r[f"hi{d}"] for d in range(m)]
+    for node in range(cells - 2, -1, -1):
+        low[node], high[node] = np.minimum(low[2 * node + 1], low[2 * node + 2]), np.maximum(high[2 * node + 1], high[2 * node + 2])
 
     found_schema = "uid long, other long, d2 double"
 
@@ -255,22 +270,17 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", ve
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 4_096):
-                    part = batch.slice(at, 4_096)
+                for at in range(0, batch.num_rows, QUERIES):
+                    part = batch.slice(at, QUERIES)
                     points = np.stack([part.column(f"p{d}").to_numpy() for d in range(m)], 1)
-                    gap = np.zeros((len(points), cells))
-                    for d in range(m):
-                        q = points[:, d : d + 1]
-                        gap += np.maximum(0, np.maximum(low[None, :, d] - q, q - high[None, :, d])) ** 2
-                    best = part.column("best").to_numpy(zero_copy_only=False)
-                    wanted = (gap <= stop * best[:, None]) & np.isfinite(low[:, 0])[None, :]
-                    wanted[np.arange(len(points)), part.column("cell").to_numpy()] = False
-                    row, cell = np.nonzero(wanted)
+                    row, cell = reached(points, stop * part.column("best").to_numpy(zero_copy_only=False), low, high, depth)
+                    other = cell != part.column("cell").to_numpy()[row]
+                    row, cell = row[other], cell[other]
                     taken = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column("uid").take(taken), part.column("v").take(taken), part.column("best").take(taken)], names=["cell", "uid", "v", "best"])
 
         routed = stored.join(limits, "uid", "left").withColumn("best", F.coalesce("best", F.lit(float("inf"))))
-        hits = own.unionAll(searched(routed.mapInArrow(route, "cell int, uid long, v array<double>, best double")))
+        hits = own.unionAll(searched(routed.mapInArrow(route, f"cell int, uid long, v {numbers}, best double")))
     names = stored.select("uid", "id")
     named = hits.join(names.select(F.col("uid").alias("other"), F.col("id").alias("neighbour_id")), "other")
     # the k least of a query, of at most k from each cell it visited
