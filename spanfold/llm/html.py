@@ -51,6 +51,7 @@ IMPLIED = {
     "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
+_ROWS = frozenset("thead tbody tfoot tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements nest so deep at most; the contents of deeper ones belong to the last that counts.
 DEEPEST = 200
@@ -133,6 +134,8 @@ def build(source: str) -> Node:
             continue
         if tag not in HIDDEN and len(stack) > 1 and stack[1].tag == "head" and tag != "head":
             del stack[1:]  # the body begins
+        if tag in _ROWS and not any(n.tag == "table" for n in stack):
+            continue  # no table is open
         if tag in CLOSES_P:
             close(p_only, p_beyond)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:

@@ -78,3 +78,9 @@ def test_edge_rows(spark):
 def test_quotes_that_never_close_take_linear_time():
     assert to_text("<a title=\"" * 3000) is not None
     assert build("<i " * 3000).children
+
+
+def test_rows_without_a_table(spark):
+    pages = ["<div><tr>x", "<table><tr><td>a</table><tr>x", "<tbody>x<tr><td>y", "<thead>x</thead><tfoot>y", "<p>fine"]
+    got = extract_text(spark.createDataFrame([(s,) for s in pages], "html string")).collect()
+    assert [r.page_text for r in got] == ["x", "a\n\nx", "x\ny", "xy", "fine"]
