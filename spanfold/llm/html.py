@@ -51,7 +51,11 @@ IMPLIED = {
     "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
+#: Elements that make up a table; what else stands in a row, a row group or a table belongs before the table.
 _ROWS = frozenset("thead tbody tfoot tr".split())
+_FOSTERING = _ROWS | _TABLE | frozenset(["colgroup"])
+_OF_TABLE = _ROWS | frozenset("caption colgroup col td th script style template".split())
+_BOUNDS = _CELL | frozenset(["template"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements nest so deep at most; the contents of deeper ones belong to the last that counts.
 DEEPEST = 200
@@ -90,15 +94,37 @@ def build(source: str) -> Node:
             elif tag in beyond:
                 return
 
+    def open_table() -> int:
+        """The place of the innermost table, 0 if none is open or a cell, caption or template is open in it."""
+        k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _BOUNDS), 0)
+        return k if stack[k].tag == "table" else 0
+
+    def foster(child: Node | str) -> None:
+        """Put what is no part of a table before the table that it stands in."""
+        k = open_table()
+        if k and stack[-1].tag == "colgroup":
+            stack.pop()
+        if k:
+            stack[k - 1].children.insert(-1, child)  # an open table is its parent's last child
+        else:
+            stack[-1].children.append(child)
+
     def words(text: str) -> None:
         if text:
-            inside = stack[-1]
-            if inside.tag in ("table", "tr", "thead", "tbody", "tfoot") and not text.isspace() and len(stack) > 1:
-                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "table")
-                kids = stack[k - 1].children  # text that no cell holds stands before the table
-                kids.insert(kids.index(stack[k]), html.unescape(text) if "&" in text else text)
+            plain = html.unescape(text) if "&" in text else text
+            if stack[-1].tag in _FOSTERING and not text.isspace():
+                foster(plain)
             else:
-                inside.children.append(html.unescape(text) if "&" in text else text)
+                stack[-1].children.append(plain)
+
+    def clear(tag: str) -> None:
+        """End what stands in an open table where it doesn't belong, up to what may hold the tag."""
+        k = open_table()
+        if k and not (tag == "col" and stack[-1].tag == "colgroup"):
+            holds = {"tr": _ROWS - {"tr"}, "td": _ROWS, "th": _ROWS}.get(tag, frozenset())
+            while k + 1 < len(stack) and stack[k + 1].tag in holds:
+                k += 1
+            del stack[k + 1 :]
 
     at, size = 0, len(source)
     p_only, p_beyond = frozenset(["p"]), _CELL | frozenset(["button", "object"])
@@ -125,6 +151,8 @@ def build(source: str) -> Node:
                 close(frozenset([tag]), _TABLE)
             elif tag == "li":
                 close(frozenset([tag]), _LISTS | _CELL)
+            elif tag == "template":
+                close(frozenset([tag]), frozenset())
             else:
                 close(frozenset([tag]), _CELL - {tag})
             continue
@@ -145,6 +173,12 @@ def build(source: str) -> Node:
             close(wanted, beyond, all_=tag not in ("li", "dt", "dd"))
         if tag == "a":
             close(frozenset(["a"]), _CELL)
+        if tag in _OF_TABLE and tag not in RAW and tag != "template":
+            clear(tag)
+        elif tag == "table" and (k := open_table()):
+            del stack[k:]  # a table can't hold a table but in a cell
+        elif tag == "form" and open_table():
+            continue  # holds nothing there
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
@@ -153,7 +187,10 @@ def build(source: str) -> Node:
         if tag == "option" and stack[-1].tag == "option":
             stack.pop()
         node = Node(tag, rest)
-        stack[-1].children.append(node)
+        if stack[-1].tag in _FOSTERING and tag not in _OF_TABLE:
+            foster(node)
+        else:
+            stack[-1].children.append(node)
         if tag in RAW or tag in RCDATA:
             text, at = raw_text(source, tag, at, size)
             if tag == "textarea" or tag == "xmp":

@@ -1,3 +1,4 @@
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -84,3 +85,35 @@ def test_rows_without_a_table(spark):
     pages = ["<div><tr>x", "<table><tr><td>a</table><tr>x", "<tbody>x<tr><td>y", "<thead>x</thead><tfoot>y", "<p>fine"]
     got = extract_text(spark.createDataFrame([(s,) for s in pages], "html string")).collect()
     assert [r.page_text for r in got] == ["x", "a\n\nx", "x\ny", "xy", "fine"]
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<table><tbody><form><tr><td>x<td>y</form><tr><td>z</table>end", "x | y\nz |\n\nend"),
+        ("<table><tbody><div>d<p>e</div><tr><td>x</table>", "d\n\ne\n\nx"),
+        ("<table><tr><b>b</b><td>x<p>y</table>", "b\n\nx\ny"),
+        ("<table><a href=q>l</a><tr><td>x</table>", "l\n\nx"),
+        ("<table><tr><td>1</td><table><tr><td>2</table>3", "1\n\n2\n\n3"),
+        ("<table><colgroup>c<col><div>d</div><tr><td>x</table>", "c\nd\n\nx"),
+        ("<table><tr><td>a<table><tr><b>q</b><td>b</table>c</table>", "aq\nb\nc"),
+        ("<table><tr><template><td>no</template><td>y</table>", "y"),
+    ],
+)
+def test_what_a_table_may_not_hold_stands_before_it(source, text):
+    assert to_text(source) == text
+
+
+def test_no_word_of_tables_is_lost():
+    draw = random.Random(1)
+    tags = "table tr td th thead tbody tfoot caption colgroup col form div p b a ul li span select option pre h1 br input".split()
+    for _ in range(3000):
+        pieces, words = [], []
+        for n in range(draw.randrange(3, 25)):
+            pieces.append(f"<{'/' if draw.random() < 0.3 else ''}{draw.choice(tags)}>")
+            if draw.random() < 0.6:
+                words.append(f"w{n}z")
+                pieces.append(words[-1])
+        text = to_text("".join(pieces))
+        assert [w for w in words if text.count(w) != 1] == [], "".join(pieces)
