@@ -16,12 +16,12 @@ BITS = 256
 WORDS = BITS // 64
 #: Bits in which near duplicates may differ. Unrelated texts differ in 128 on average, with a deviation of 8.
 RADIUS = 60
-#: Bits in which any 64 of them may differ, so that most pairs are decided by one word of the fingerprint.
-WORD_RADIUS = 22
+#: Bits in which any 64 of them may differ: all, so that the distance of the whole alone decides.
+WORD_RADIUS = 64
 #: Texts whose words are in memory at once.
 SLICE = 2_048
 #: Fingerprints of a tile in cache, and rows compared with it at once.
-TILE, ROWS = 4_096, 64
+TILE, ROWS = 4_096, 16
 #: Sizes between which a cell's side is chosen: an eighth of the fingerprints, so that cells are many but few copies of each are sent.
 SIDES = (4_096, 262_144)
 
@@ -115,38 +115,42 @@ def fold_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = further
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, word_radius: int = WORD_RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of a and b, (n, WORDS) numbers in order of population count, that differ in at most radius bits, and in
-    no word by more than word_radius.
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a and b, (n, WORDS) numbers in order of population count, that differ in at most radius bits.
 
-    Tiles whose population counts exclude that (of the whole, or of words) are skipped; in the others every pair is compared
-    in its first word and, where that allows it, in all.
+    Tiles whose population counts exclude that (of the whole, or of words) are skipped. In the others each pair is looked at:
+    one within the radius differs in at most half of it in one half of the fingerprint, and there the differing bits of
+    both words laid over one another are no more than that. Pairs of which that holds are compared in full.
     """
     tiles = []
     for side in (a, b):
         ones = np.bitwise_count(side).astype(np.int64)
         tiles.append([(c, ones[c : c + TILE].min(0), ones[c : c + TILE].max(0), ones[c : c + TILE].sum(1)) for c in range(0, len(side), TILE)])
-    x, c = np.empty((ROWS, TILE), np.uint64), np.empty((ROWS, TILE), np.uint8)
+    x, y = (np.empty((ROWS, TILE), np.uint64) for _ in range(2))
+    c, d = (np.empty((ROWS, TILE), np.uint8) for _ in range(2))
     for p, low, high, sums in tiles[0]:
         for q, low_b, high_b, sums_b in tiles[1]:
             gaps = np.maximum(0, np.maximum(low - high_b, low_b - high))
             whole = max(sums.min() - sums_b.max(), sums_b.min() - sums.max())
-            if max(gaps.sum(), whole) > radius or gaps.max() > word_radius:
+            if max(gaps.sum(), whole) > radius:
                 continue
             right = b[q : q + TILE]
-            first = np.ascontiguousarray(right[:, 0])
+            columns = np.ascontiguousarray(right.T)
             m = len(right)
             for r in range(p, min(p + TILE, len(a)), ROWS):
                 left = a[r : min(r + ROWS, p + TILE)]
                 n = len(left)
-                np.bitwise_xor(left[:, :1], first[None, :], out=x[:n, :m])
-                np.bitwise_count(x[:n, :m], out=c[:n, :m])
-                hit = np.flatnonzero(np.ascontiguousarray(c[:n, :m]) <= word_radius)
+                for k, out in ((0, c), (2, d)):
+                    np.bitwise_xor(left[:, k : k + 1], columns[k], out=x[:n, :m])
+                    np.bitwise_xor(left[:, k + 1 : k + 2], columns[k + 1], out=y[:n, :m])
+                    np.bitwise_or(x[:n, :m], y[:n, :m], out=x[:n, :m])
+                    np.bitwise_count(x[:n, :m], out=out[:n, :m])
+                hit = np.flatnonzero(np.minimum(c[:n, :m], d[:n, :m]) <= radius // 2)
                 if not len(hit):
                     continue
                 i, j = hit // m, hit % m
                 apart = np.bitwise_count(left[i] ^ right[j])
-                near = (apart.max(1) <= word_radius) & (apart.sum(1, dtype=np.int64) <= radius)
+                near = apart.sum(1, dtype=np.int64) <= radius
                 if near.any():
                     yield r + i[near], q + j[near]
 
@@ -252,8 +256,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each document: doc_id, text_hash, group_id (least id of its group), group_size and keep.
 
     A text's fingerprint has 256 bits: the signs of the sums of hashed word pairs. Texts are near duplicates
-    if their fingerprints differ in at most `radius` bits, at most WORD_RADIUS of them in any of its four words, and
-    groups are the components of that relation.
+    if their fingerprints differ in at most `radius` bits, and groups are the components of that relation.
     Equal fingerprints are merged before anything is compared, then all pairs are compared exactly, in
     tiles, with numpy exclusive-or and bit counts; only tile pairs whose population counts exclude a match are
     skipped. No partner or candidate is dropped.

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanfold.llm.simhash import RADIUS, WORD_RADIUS, WORDS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups
+from spanfold.llm.simhash import RADIUS, WORD_RADIUS, WORDS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups, near_pairs
 from tests.llm import edge
 
 
@@ -122,3 +122,21 @@ def test_components_of_chains(spark):
     got = {int(r.node): int(r.label) for r in components(df).collect()}
     want = groups_of(edges, {x for e in edges for x in e})
     assert got == want
+
+
+def test_pairs_are_decided_by_the_whole_distance():
+    """Differences of 60 bits wherever they stand, as all in one word and as the most in each half."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, (300, WORDS), dtype=np.uint64)
+    others = base.copy()
+    for i in range(300):
+        bits = np.zeros(256, bool)
+        inside = [np.arange(60), np.r_[0:30, 128:158], np.r_[64:94, 192:222], np.r_[0:40, 200:220], rng.permutation(256)[:60]][i % 5]
+        bits[inside] = True
+        if i % 10 > 4:
+            bits[np.flatnonzero(~bits)[0]] = True  # one bit too many
+        others[i] ^= np.packbits(bits).view(np.uint64)
+    a, b = by_population(base), by_population(others)
+    far = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=int)
+    got = sorted((int(i), int(j)) for p, q in near_pairs(a, b, RADIUS) for i, j in zip(p, q))
+    assert got == [(int(i), int(j)) for i, j in zip(*np.nonzero(far <= RADIUS))] and len(got) == 150
