@@ -85,6 +85,11 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts > 0
 
 
+def not_blank(text_col: str) -> Column:
+    """Whether a text has more than white space; true or false, for null too."""
+    return F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"(?U)\S"), F.lit(False))
+
+
 def with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """docs with the 32 bytes of each text's fingerprint, null where the text has no word."""
 
@@ -262,30 +267,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     skipped. No partner or candidate is dropped.
 
     keep is true for one row of each group: the least (doc_id, text_hash), null ids last; among rows that
-    agree in both, keep is true for all of them, and drop_near_duplicates leaves one. Texts without a word
-    (null, empty, punctuation) have no fingerprint: each is a group of its own, group_id its own id. Other columns are not
-    read, whatever their names. No rows give no rows.
+    agree in both, keep is true for all of them, and drop_near_duplicates leaves one. Texts without a word have no
+    fingerprint: those that are equal (punctuation, symbols) are a group; null and blank ones are each a group of its own,
+    group_id its own id. Other columns are not read, whatever their names. No rows give no rows.
     """
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    hashed = with_fingerprint(picked, "__text", "__print").select("doc_id", F.xxhash64("__text").alias("text_hash"), "__print")
+    bare = F.when(F.col("__print").isNull() & not_blank("__text"), F.col("__text"))
+    hashed = with_fingerprint(picked, "__text", "__print").select("doc_id", F.xxhash64("__text").alias("text_hash"), "__print", bare.alias("__bare"))
     rows = written(hashed, "prints")
     prints = written(rows.where("__print is not null").select("__print").distinct(), "distinct")
     labels = components(near_edges(prints, "__print", radius, sides))
     some = rows.where("__print is not null").join(labels.withColumnRenamed("node", "__print"), "__print", "left")
     some = some.select("doc_id", "text_hash", F.coalesce("label", "__print").alias("__group"))
+    wordless = rows.where("__bare is not null").select("doc_id", "text_hash", F.col("__bare").cast("binary").alias("__group"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    groups = some.groupBy("__group").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("group_size"))
-    joined = some.join(groups, "__group")
     first = F.col("__first")
-    out = joined.select("doc_id", "text_hash", first["d"].alias("group_id"), "group_size", (F.col("doc_id").eqNullSafe(first["d"]) & (F.col("text_hash") == first["h"])).alias("keep"))
-    bare = rows.where("__print is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    return out.unionAll(bare)
+
+    def grouped(members: DataFrame) -> DataFrame:
+        groups = members.groupBy("__group").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("group_size"))
+        joined = members.join(groups, "__group")
+        return joined.select("doc_id", "text_hash", first["d"].alias("group_id"), "group_size", (F.col("doc_id").eqNullSafe(first["d"]) & (F.col("text_hash") == first["h"])).alias("keep"))
+
+    blank = rows.where("__print is null and __bare is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    return grouped(some).unionAll(grouped(wordless)).unionAll(blank)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sides: tuple[int, int] = SIDES) -> DataFrame:
-    """docs with one document of each group of near_groups; of equal rows with words one stays.
+    """docs with one document of each group of near_groups; of equal rows one stays.
 
-    Rows without a word all stay.
+    Null and blank rows all stay.
     """
     key = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").isNull(), F.coalesce(F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.lit(0))]
     named = {"__k0": key[0], "__k1": key[1], "__k2": key[2]}
@@ -296,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = with_columns(docs, named)
     joined = rows.join(gone, list(named), "left")
     once = joined.where("__keep is null")
-    word = F.col(f"`{text_col}`").rlike(r"[\p{L}\p{N}_]")
+    some = not_blank(text_col)
     again = joined.where("__keep")
-    repeated = again.where(word).dropDuplicates(list(named)).unionAll(again.where(~F.coalesce(word, F.lit(False))))
+    repeated = again.where(some).dropDuplicates(list(named)).unionAll(again.where(~some))
     return once.unionAll(repeated).drop(*named, "__keep").select(*(F.col(f"`{c}`") for c in docs.columns))

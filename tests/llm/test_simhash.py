@@ -140,3 +140,12 @@ def test_pairs_are_decided_by_the_whole_distance():
     far = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=int)
     got = sorted((int(i), int(j)) for p, q in near_pairs(a, b, RADIUS) for i, j in zip(p, q))
     assert got == [(int(i), int(j)) for i, j in zip(*np.nonzero(far <= RADIUS))] and len(got) == 150
+
+
+def test_equal_texts_without_a_word(spark):
+    marks = [(i, "!!! ... ###", "en", "a", 11) for i in (5, 3, 9, 3, None)] + [(6, "🎂🎂", "en", "a", 2), (2, "🎂🎂", "en", "a", 2), (1, "!!! ...  ###", "en", "a", 12)]
+    df = edge.table(spark, marks + [(7, "  \n", "en", "a", 3), (8, "  \n", "en", "a", 3), (8, "  \n", "en", "a", 3), (10, None, "en", "a", 0), (11, "", "en", "a", 0)])
+    groups = sorted((str(r.doc_id), r.group_id, r.group_size) for r in near_groups(df).collect() if r.group_size > 1)
+    assert groups == [("2", 2, 2), ("3", 3, 5), ("3", 3, 5), ("5", 3, 5), ("6", 2, 2), ("9", 3, 5), ("None", 3, 5)]
+    kept = [r.doc_id for r in drop_near_duplicates(df).collect()]
+    assert sorted(kept) == [1, 2, 3, 7, 8, 8, 10, 11]
