@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
 import numpy as np
@@ -141,8 +141,8 @@ def stretches(item: list[str], size: int) -> list[list[str]]:
     return [item[min(a, len(item) - size) :][:size] for a in range(0, len(item), size)]
 
 
-def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], seen: dict[str, int], phrase: int, slop: int, share: float) -> Iterator[tuple[int, str, int, int, int]]:
-    """(item number, kind, position, item offset, tokens) in the positions of one segment."""
+def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], seen: dict[str, int], phrase: int, slop: int, share: float, starts: Sequence[int] = ()) -> Iterator[tuple[int, str, int, int, int]]:
+    """(item number, kind, position, item offset, tokens) in the positions of one segment, whose documents begin at starts."""
     for number, tokens in items:
         if not tokens:
             continue
@@ -160,7 +160,9 @@ def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], se
         for n, (p, _) in enumerate(found):
             if last is not None and p <= last:
                 continue
-            inside = found[n : bisect_left(found, (p + reach, -1))]
+            following = bisect_right(starts, p)  # a passage ends with its document at the latest
+            end = min(p + reach, starts[following]) if following < len(starts) else p + reach
+            inside = found[n : bisect_left(found, (end, -1))]
             if len({k for _, k in inside}) >= need:
                 last = inside[-1][0]
                 yield number, "proximity", p, -1, last - p + 1
@@ -224,7 +226,7 @@ def _portion(spark, postings: DataFrame, documents: DataFrame, rows: list[tuple]
         items, counts, item_ids, phrase, slop, share = sent.value
         lists = {t: np.cumsum(np.frombuffer(p, "<u4").astype(np.int64)) for t, p in zip(hits.column("term").to_pylist(), hits.column("postings").to_pylist())}
         doc_ids, starts = docs.column("ids").combine_chunks().flatten(), docs.column("starts").combine_chunks().flatten().to_numpy()
-        found = list(matches(items, lists, counts, phrase, slop, share))
+        found = list(matches(items, lists, counts, phrase, slop, share, starts.tolist()))
         number, name, position, offset, length = map(list, zip(*found)) if found else ([], [], [], [], [])
         at = np.asarray(position, np.int64)
         doc = np.searchsorted(starts, at, side="right") - 1

@@ -113,3 +113,32 @@ def test_edge_rows(spark):
     assert leaks(edge.table(spark, []), bench).collect() == []
     assert leaks(df, bench.limit(0)).collect() == []
     assert drop_leaks(df, bench.limit(0)).count() == len(edge.ROWS)
+
+
+def test_passages_end_with_their_document():
+    """An item so long that its reach goes beyond the gap between two documents."""
+    import numpy as np
+
+    from spanfold.llm.decontaminate import GAP, PHRASE, SHARE, SLOP, matches
+
+    item = [f"w{n}" for n in range(PHRASE * 300)]
+    parts = [item[a : a + PHRASE][::-1] for a in range(0, len(item), PHRASE)]  # no phrase, but each stretch in another order
+    all_ = [w for p in parts for w in p]
+
+    def found(*documents):
+        starts, lists, at = [], {}, 0
+        for words in documents:
+            starts.append(at)
+            for n, w in enumerate(words):
+                lists.setdefault(w, []).append(at + n)
+            at += len(words) + GAP
+        counts = {w: len(x) for w, x in lists.items()}
+        got = matches([(0, item)], {w: np.array(x) for w, x in lists.items()}, counts, PHRASE, SLOP, SHARE, starts)
+        return [(int(np.searchsorted(starts, p, side="right")) - 1, kind, p - starts[int(np.searchsorted(starts, p, side="right")) - 1], n) for _, kind, p, _, n in got]
+
+    need = int(SHARE * 300)
+    few = [w for p in parts[: need - 1] for w in p]
+    last = [w for p in parts[need - 1 :] for w in p]
+    assert found(few, last) == []  # together they would have enough
+    passages = [(d, p, n) for d, kind, p, n in found(all_, all_) if kind == "proximity"]
+    assert len(passages) == 2 and passages[0][1:] == passages[1][1:] and [d for d, *_ in passages] == [0, 1]
