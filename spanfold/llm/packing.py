@@ -26,62 +26,68 @@ PART_BYTES = 32 << 20
 MOST_BROADCAST = 1_000_000
 #: Tokens of a run, the unit that is stored and cut.
 RUN = 1 << 20
-#: Distinct words whose tokens a worker remembers.
-REMEMBERED = 100_000
+#: Bytes of text whose distinct words are encoded together.
+SLICE_BYTES = 16 << 20
 
 
 class Encoder:
-    """Byte-level BPE of whole batches; every distinct space-separated chunk is encoded once."""
+    """Byte-level BPE of whole batches; the distinct space-separated words of a slice are encoded once, in one call."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
+        self.leads = np.zeros(1 << 16, bool)
+        self.leads[[n for token, n in ranks.items() if token.startswith(b" ")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.uint16)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint16 tokens of all rows and offsets by row.
 
         The splitting pattern always starts a new piece at a space before a character that is not white
-        space, so a text whose spaces are all of that kind is encoded chunk by chunk. Others are encoded whole.
+        space, so a text whose spaces are all of that kind is encoded word by word. Others are encoded whole.
+        Distinct words are encoded as one text: a token that begins with a space begins a word.
         """
         texts = pc.fill_null(texts.cast(pa.string()), "")
         plain = pc.invert(pc.match_substring_regex(texts, r" (\s|$)|\pZ\pZ| [\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}\x{001C}-\x{001F}]")).to_numpy(zero_copy_only=False)
         offsets, flat = list_parts(pc.split_pattern(pc.if_else(pa.array(plain), texts, ""), " "))
-        coded = flat.dictionary_encode()
+        count = np.diff(offsets)
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1][count > 0]] = True
+        coded = flat.filter(pa.array(~first)).dictionary_encode()
+        words = coded.dictionary
+        made = [self.encode(w) for w in flat.filter(pa.array(first)).to_pylist()]
+        inner = self.encode(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()) if len(words) else np.zeros(0, np.uint16)
+        starts = np.flatnonzero(self.leads[inner])
+        if len(starts) != len(words):
+            raise ValueError("words and their tokens don't agree")
+        begin, size = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
         raw = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        first = np.zeros(len(raw), bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
-        leads, firsts = np.zeros(len(words), bool), np.zeros(len(words), bool)
-        leads[raw[~first]], firsts[raw[first]] = True, True
-        code = raw * 2 + ~first
-        tokens: list[int] = []
-        sizes, starts = np.zeros(2 * len(words), np.int64), np.zeros(2 * len(words), np.int64)
-        encode, known = self.encoding.encode_ordinary, self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for i, (w, with_space, without) in enumerate(zip(words, leads.tolist(), firsts.tolist())):
-            for bit, used in ((1, with_space), (0, without)):
-                if used:
-                    chunk = " " + w if bit else w
-                    made = known.get(chunk)
-                    if made is None:
-                        made = encode(chunk)
-                        if len(chunk) < 40:
-                            known[chunk] = made
-                    starts[2 * i + bit], sizes[2 * i + bit] = len(tokens), len(made)
-                    tokens += made
-        lengths = sizes[code]
-        fast = np.asarray(tokens, np.uint16)[spread(starts[code], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
+        begin[~first], size[~first] = starts[raw], np.diff(np.append(starts, len(inner)))[raw]
+        lengths = np.array([len(m) for m in made], np.int64)
+        begin[first], size[first] = len(inner) + np.cumsum(lengths) - lengths, lengths
+        fast = np.concatenate([inner, *made])[spread(begin, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[offsets]
         if plain.all():
             return fast, ends
-        whole = {int(i): np.asarray(encode(texts[int(i)].as_py()), np.uint16) for i in np.flatnonzero(~plain)}
+        whole = {int(i): self.encode(texts[int(i)].as_py()) for i in np.flatnonzero(~plain)}
         parts = [whole[i] if i in whole else fast[ends[i] : ends[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of about `most` bytes, of a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, stop - at
+        at = stop
+
+
 def blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of uint16 values as binary."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
@@ -93,8 +99,8 @@ def token_table(docs: DataFrame, vocabulary: str, eos: int, id_col: str, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_048):
-                part = batch.slice(at, 2_048)
+            for at, rows in slices(batch.column(2)):
+                part = batch.slice(at, rows)
                 tokens, offsets = encoder.batch(part.column(2))
                 some = np.diff(offsets) > 0
                 counts = np.diff(offsets)[some]
