@@ -75,3 +75,28 @@ def test_edge_rows(spark):
     assert len(neighbours(table(spark, rows[:3]), 10).collect()) == 3 * 2
     assert neighbours(table(spark, rows[:1])).collect() == []
     assert neighbours(table(spark, [])).collect() == []
+
+
+def test_stated_queries_against_all_rows_and_a_crowded_cell(spark):
+    """A third of all vectors are copies of one, so that their cell is cut into blocks; a fifth of the rows are queries."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 16)).astype(np.float32).astype(float)
+    x[rng.permutation(900)[:300]] = x[0]
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    rows = neighbours(df, 5, cell_rows=20, most_cells=8, asked="vec_id % 5 = 0").collect()
+    assert {r.vec_id for r in rows} == set(range(0, 900, 5)) and len(rows) == 180 * 5
+    d = ((x[::5, None] - x[None]) ** 2).sum(-1)
+    d[np.arange(180), np.arange(0, 900, 5)] = np.inf
+    kth = np.sort(d, 1)[:, 4]
+    assert sum(d[r.vec_id // 5, r.neighbour_id] <= kth[r.vec_id // 5] + 1e-9 for r in rows) / len(rows) >= 0.9
+    assert neighbours(df, 5, asked="vec_id < 0").collect() == []
+
+
+def test_large_and_small_numbers(spark):
+    """Single precision only screens: what it can't tell apart or hold is decided in double."""
+    rows = [(i, [1e100 * i, 1e100]) for i in range(4)]
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1).collect()
+    assert {(r.vec_id, r.neighbour_id) for r in got} <= {(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)} and len(got) == 4
+    near = [(i, [1000.0 + i * 1e-6, 1.0]) for i in range(6)]
+    got = neighbours(spark.createDataFrame(near, "vec_id long, embedding array<double>"), 2).collect()
+    assert all(abs(r.vec_id - r.neighbour_id) <= 2 for r in got) and len(got) == 12
