@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import tokenize, with_columns, written
+from spanfold.llm.common import remove, tokenize, written
 
 BITS = 256
 WORDS = BITS // 64
 #: Bits in which near duplicates may differ. Unrelated texts differ in 128 on average, with a deviation of 8.
 RADIUS = 60
-#: Bits in which any 64 of them may differ: all, so that the distance of the whole alone decides.
-WORD_RADIUS = 64
 #: Texts whose words are in memory at once.
 SLICE = 2_048
 #: Fingerprints of a tile in cache, and rows compared with it at once.
@@ -177,52 +176,49 @@ def by_population(numbers: np.ndarray) -> np.ndarray:
 def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int] = SIDES) -> DataFrame:
     """Edges (u, v) between distinct fingerprints, enough to join all within the radius of each other.
 
-    Fingerprints are put in order of population count by arithmetic on the counts of their 257 values, cut
-    into G sides, and each goes to the cells (g, h) of its side whose population counts allow a pair.
+    Fingerprints are put in order of population count by arithmetic on the counts of their 257 values and cut
+    into G sides. The sides whose population counts allow a pair with one of side g are a range, and each fingerprint goes to
+    the cells (g, h) of its side and that range; the driver holds three numbers a side.
     """
     ones = sum(F.bit_count(F.conv(F.hex(F.substring(name, 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(WORDS)).cast("int")
-    distinct = prints.select(F.col(name), ones.alias("__ones"))
-    counted = {r["__ones"]: r["count"] for r in distinct.groupBy("__ones").count().collect()}  # 257 values at most
+    distinct = prints.select(F.col(name), ones.alias("ones"))
+    counted = {r["ones"]: r["count"] for r in distinct.groupBy("ones").count().collect()}  # 257 values at most
     total = sum(counted.values())
     side = min(sides[1], max(sides[0], -(-total // 8)))
-    sides_n = max(1, -(-total // side))
-    start, low, high = {}, [BITS] * sides_n, [0] * sides_n
+    n = max(1, -(-total // side))
+    start, low, high = {}, [BITS] * n, [0] * n
     seen = 0
     for p in sorted(counted):
         start[p] = seen
-        for g in range(min(sides_n - 1, seen * sides_n // max(total, 1)), min(sides_n - 1, (seen + counted[p] - 1) * sides_n // max(total, 1)) + 1):
+        for g in range(min(n - 1, seen * n // max(total, 1)), min(n - 1, (seen + counted[p] - 1) * n // max(total, 1)) + 1):
             low[g], high[g] = min(low[g], p), max(high[g], p)
         seen += counted[p]
-    cells = [(g, h) for g in range(sides_n) for h in range(g, sides_n) if low[h] - high[g] <= radius]
-    of_side: list[list[int]] = [[] for _ in range(sides_n)]
-    for k, (g, h) in enumerate(cells):
-        of_side[g].append(k)
-        if h != g:
-            of_side[h].append(k)
-    if not cells:
-        cells, of_side = [(0, 0)], [[0]]
-
-    def lookup(values: list[int]) -> Column:
-        return F.array(*(F.lit(v) for v in values))
+    least = [bisect_left(high, low[g] - radius) for g in range(n)]
+    most = [bisect_right(low, high[g] + radius) - 1 for g in range(n)]
+    ranges = prints.sparkSession.createDataFrame([(g, min(g, least[g]), max(g, most[g])) for g in range(n)], "side int, least int, most int")
 
     within = F.pmod(F.xxhash64(name), F.lit(1 << 20))
     starts = F.array(*(F.lit(start.get(p, 0)).cast("long") for p in range(BITS + 1)))
     sizes = F.array(*(F.lit(counted.get(p, 0)).cast("long") for p in range(BITS + 1)))
-    place = starts[F.col("__ones")] + F.shiftright(sizes[F.col("__ones")] * within, 20)
-    sided = distinct.select(name, F.least(F.lit(sides_n - 1), F.floor(place * sides_n / max(total, 1))).cast("int").alias("__side"))
-    spark = prints.sparkSession
-    listed = spark.createDataFrame([(g, k) for g, ks in enumerate(of_side) for k in ks], "__side int, __cell int")
-    parts = max(1, min(len(cells), 20_000))
-    sent = sided.join(listed, "__side").select("__cell", "__side", name).repartitionById(parts, F.col("__cell") % parts)
+    place = starts[F.col("ones")] + F.shiftright(sizes[F.col("ones")] * within, 20)
+    sided = distinct.select(F.col(name).alias("print"), F.least(F.lit(n - 1), F.floor(place * n / max(total, 1))).cast("int").alias("side"))
+    met = sided.join(ranges, "side").select("print", "side", F.explode(F.sequence("least", "most")).alias("other"))
+    g, h = F.least("side", "other").cast("long"), F.greatest("side", "other").cast("long")
+    cell = g * n - F.expr("least(side, other) * (cast(least(side, other) AS long) - 1) div 2") + h - g  # places in the upper triangle, row by row
+    parts = max(1, min(n * (n + 1) // 2, 20_000))
+    sent = met.select(cell.alias("cell"), (F.col("side") <= F.col("other")).alias("first"), (F.col("side") == F.col("other")).alias("alone"), "print")
+    sent = sent.repartitionById(parts, (F.col("cell") % parts).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # the fingerprints of one cell, or of few
-        cell, at = table.column(0).to_numpy(), table.column(1).to_numpy()
-        raw = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+        held = list(batches)  # the fingerprints of one cell, or of few
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        cell, first, alone = (table.column(c).to_numpy() for c in range(3))
+        raw = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)
         for k in np.unique(cell):
-            g, h = cells[k]
-            a = by_population(raw[(cell == k) & (at == g)])
-            b = None if g == h else by_population(raw[(cell == k) & (at == h)])
+            a = by_population(raw[(cell == k) & first])
+            b = None if alone[cell == k][0] else by_population(raw[(cell == k) & ~first])
             u, v = forest(a, b, radius)
             both = a if b is None else np.concatenate([a, b])
             for lo in range(0, len(u), 50_000):
@@ -253,12 +249,37 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        now = written(small.where("u != v").distinct(), "edges")
+        done, now = now, written(small.where("u != v").distinct(), "edges")
+        remove(done)
     return now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, sides: tuple[int, int]) -> DataFrame:
+    """near_groups() with text_hash, a hash of the text that tells rows of one id apart."""
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    bare = F.when(F.col("print").isNull() & not_blank("text"), F.col("text"))
+    hashed = with_fingerprint(picked, "text", "print").select("doc_id", F.xxhash64("text").alias("text_hash"), "print", bare.alias("bare"))
+    rows = written(hashed, "prints")
+    prints = written(rows.where("print is not null").select("print").distinct(), "distinct")
+    labels = components(near_edges(prints, "print", radius, sides))
+    remove(prints)
+    some = rows.where("print is not null").join(labels.withColumnRenamed("node", "print"), "print", "left")
+    some = some.select("doc_id", "text_hash", F.coalesce("label", "print").alias("group"))
+    wordless = rows.where("bare is not null").select("doc_id", "text_hash", F.col("bare").cast("binary").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    first = F.col("first")
+
+    def grouped(members: DataFrame) -> DataFrame:
+        groups = members.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+        joined = members.join(groups, "group")
+        return joined.select("doc_id", "text_hash", first["d"].alias("group_id"), "group_size", (F.col("doc_id").eqNullSafe(first["d"]) & (F.col("text_hash") == first["h"])).alias("keep"))
+
+    blank = rows.where("print is null and bare is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    return grouped(some).unionAll(grouped(wordless)).unionAll(blank)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sides: tuple[int, int] = SIDES) -> DataFrame:
-    """One row for each document: doc_id, text_hash, group_id (least id of its group), group_size and keep.
+    """One row for each document: doc_id, group_id (least id of its group), group_size and keep.
 
     A text's fingerprint has 256 bits: the signs of the sums of hashed word pairs. Texts are near duplicates
     if their fingerprints differ in at most `radius` bits, and groups are the components of that relation.
@@ -266,47 +287,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tiles, with numpy exclusive-or and bit counts; only tile pairs whose population counts exclude a match are
     skipped. No partner or candidate is dropped.
 
-    keep is true for one row of each group: the least (doc_id, text_hash), null ids last; among rows that
-    agree in both, keep is true for all of them, and drop_near_duplicates leaves one. Texts without a word have no
+    keep is true for one row of each group: the least id, null ids last, and among rows of that id the least hash of the text; for rows that
+    agree in both it is true for all of them, and drop_near_duplicates leaves one. Texts without a word have no
     fingerprint: those that are equal (punctuation, symbols) are a group; null and blank ones are each a group of its own,
-    group_id its own id. Other columns are not read, whatever their names. No rows give no rows.
+    group_id its own id. Texts of any length are read whole. Other columns are not read, whatever their names. No rows give no rows.
     """
-    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    bare = F.when(F.col("__print").isNull() & not_blank("__text"), F.col("__text"))
-    hashed = with_fingerprint(picked, "__text", "__print").select("doc_id", F.xxhash64("__text").alias("text_hash"), "__print", bare.alias("__bare"))
-    rows = written(hashed, "prints")
-    prints = written(rows.where("__print is not null").select("__print").distinct(), "distinct")
-    labels = components(near_edges(prints, "__print", radius, sides))
-    some = rows.where("__print is not null").join(labels.withColumnRenamed("node", "__print"), "__print", "left")
-    some = some.select("doc_id", "text_hash", F.coalesce("label", "__print").alias("__group"))
-    wordless = rows.where("__bare is not null").select("doc_id", "text_hash", F.col("__bare").cast("binary").alias("__group"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    first = F.col("__first")
-
-    def grouped(members: DataFrame) -> DataFrame:
-        groups = members.groupBy("__group").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("group_size"))
-        joined = members.join(groups, "__group")
-        return joined.select("doc_id", "text_hash", first["d"].alias("group_id"), "group_size", (F.col("doc_id").eqNullSafe(first["d"]) & (F.col("text_hash") == first["h"])).alias("keep"))
-
-    blank = rows.where("__print is null and __bare is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    return grouped(some).unionAll(grouped(wordless)).unionAll(blank)
+    return _groups(docs, id_col, text_col, radius, sides).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sides: tuple[int, int] = SIDES) -> DataFrame:
     """docs with one document of each group of near_groups; of equal rows one stays.
 
-    Null and blank rows all stay.
+    Null and blank rows all stay. Columns may have any names and pass through.
     """
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").isNull(), F.coalesce(F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.lit(0))]
-    named = {"__k0": key[0], "__k1": key[1], "__k2": key[2]}
-    groups = written(near_groups(docs, id_col, text_col, radius, sides), "groups")
-    own = {"__k0": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__k1": F.col("doc_id").isNull(), "__k2": F.col("text_hash")}
-    marked = groups.withColumns(own).groupBy(*named).agg(F.max("keep").alias("__keep"), F.count(F.lit(1)).alias("__rows"))
-    gone = marked.where("not __keep or __rows > 1").select(*named, "__keep")
-    rows = with_columns(docs, named)
-    joined = rows.join(gone, list(named), "left")
-    once = joined.where("__keep is null")
-    some = not_blank(text_col)
-    again = joined.where("__keep")
-    repeated = again.where(some).dropDuplicates(list(named)).unionAll(again.where(~some))
-    return once.unionAll(repeated).drop(*named, "__keep").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    def keys(doc_id: Column, text_hash: Column) -> dict[str, Column]:
+        return {"k0": F.coalesce(doc_id.cast("string"), F.lit("")), "k1": doc_id.isNull(), "k2": F.coalesce(text_hash, F.lit(0))}
+
+    groups = written(_groups(docs, id_col, text_col, radius, sides), "groups")
+    marked = groups.withColumns(keys(F.col("doc_id"), F.col("text_hash"))).groupBy("k0", "k1", "k2").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    gone = marked.where("not keep or n > 1").select("k0", "k1", "k2", "keep")
+    text = F.col(f"`{text_col}`").cast("string")
+    # the columns of docs stay in one struct, so that no name of theirs can meet one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), not_blank(text_col).alias("some"), *(v.alias(n) for n, v in keys(F.col(f"`{id_col}`"), F.xxhash64(text)).items()))
+    joined = rows.join(gone, ["k0", "k1", "k2"], "left")
+    again = joined.where("keep")
+    repeated = again.where("some").dropDuplicates(["k0", "k1", "k2"]).unionAll(again.where("not some"))
+    return joined.where("keep is null").unionAll(repeated).select("row.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanfold.llm.simhash import RADIUS, WORD_RADIUS, WORDS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups, near_pairs
+from spanfold.llm.simhash import RADIUS, WORDS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups, near_pairs
 from tests.llm import edge
 
 
@@ -25,7 +25,7 @@ def groups_of(pairs, nodes):
 def brute(prints, radius):
     n = len(prints)
     d = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :])
-    near = (d.sum(2, dtype=int) <= radius) & (d.max(2) <= WORD_RADIUS)
+    near = d.sum(2, dtype=int) <= radius
     return groups_of([(i, j) for i in range(n) for j in range(i) if near[i, j]], range(n))
 
 
@@ -91,7 +91,8 @@ def test_one_of_each_group_stays(spark):
 
 
 def test_edge_rows(spark):
-    df = edge.table(spark, extra=["group_id", "keep", "text_hash", "label"])
+    df = edge.table(spark, extra=["group_id", "keep", "text_hash", "label", "k0", "k1", "k2", "row", "some", "print", "group", "first", "n", "__k0", "__keep", "__rows"])
+    assert near_groups(df).columns == ["doc_id", "group_id", "group_size", "keep"]
     rows = near_groups(df).collect()
     assert len(rows) == len(edge.ROWS)
     by = {}
