@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from uuid import uuid4
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanfold.llm.common import tokenize, written
+from spanfold.llm.common import remove, tokenize, written
 
 #: Tokens of a phrase that counts as a leak (a shorter test item counts as a whole).
 PHRASE = 10
@@ -21,6 +22,8 @@ PHRASE = 10
 SLOP = 5
 #: Share of an item's stretches that must be found near one another's place for a proximity match.
 SHARE = 0.8
+#: Tokens that a test item must have for its documents to be dropped: a word or two stand in clean documents too.
+LEAST = 5
 #: Characters of test items that are searched for at once.
 ITEM_CHARS = 4_000_000
 #: Positions left free between documents, more than any window.
@@ -118,13 +121,12 @@ def phrase_runs(item: list[str], lists: dict[str, np.ndarray], seen: dict[str, i
 
 def near_terms(terms: list[str], lists: dict[str, np.ndarray], seen: dict[str, int], span: int) -> list[int]:
     """Positions p of the rarest term such that some `span` tokens that hold p hold all the terms."""
+    if any(t not in lists for t in terms):
+        return []
     order = sorted(set(terms), key=lambda t: (seen.get(t, 0), t))
-    at = lists.get(order[0], _NONE)
+    at = lists[order[0]]
     for t in order[1:]:
-        if not len(at):
-            return []
-        other = lists.get(t, _NONE)
-        at = at[np.searchsorted(other, at + span) > np.searchsorted(other, at - span + 1)]
+        at = at[np.searchsorted(lists[t], at + span) > np.searchsorted(lists[t], at - span + 1)]
     good = np.zeros(len(at), bool)
     for low in range(1 - span, 1):  # where the tokens begin, from p on
         fits = np.ones(len(at), bool)
@@ -141,10 +143,10 @@ def stretches(item: list[str], size: int) -> list[list[str]]:
     return [item[min(a, len(item) - size) :][:size] for a in range(0, len(item), size)]
 
 
-def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], seen: dict[str, int], phrase: int, slop: int, share: float, starts: Sequence[int] = ()) -> Iterator[tuple[int, str, int, int, int]]:
+def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], seen: dict[str, int], phrase: int, slop: int, share: float, starts: Sequence[int] = (), least: int = 1) -> Iterator[tuple[int, str, int, int, int]]:
     """(item number, kind, position, item offset, tokens) in the positions of one segment, whose documents begin at starts."""
     for number, tokens in items:
-        if not tokens:
+        if len(tokens) < max(1, least):
             continue
         size = min(phrase, len(tokens))
         for position, offset, length in phrase_runs(tokens, lists, seen, size):
@@ -168,7 +170,7 @@ def matches(items: list[tuple[int, list[str]]], lists: dict[str, np.ndarray], se
                 yield number, "proximity", p, -1, last - p + 1
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, slop: int = SLOP, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, slop: int = SLOP, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS, least: int = 1) -> DataFrame:
     """One row for each match: doc_id, item_id, kind, start, item_start, tokens.
 
     kind 'phrase': a longest run of at least `phrase` tokens (the whole item if it is shorter) that stands word
@@ -180,17 +182,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, slop: int
 
     The index of all documents is built and stored first (see build_index). The test terms pick their postings; those
     of a segment come together, and lists are intersected from the term that is rarest over all documents. Only
-    postings of test terms are exchanged. Items are taken in portions of at most item_chars characters, so what
-    goes to each task is bounded.
+    postings of test terms are exchanged. Items are read and searched for in portions of at most item_chars characters (or of one item), so what
+    the driver and each task hold is bounded; where there are several, each portion's matches are written before the next is read.
 
-    Null or empty texts and items match nothing. A null id is reported as null. Repeated documents and
+    Null or empty texts and items match nothing, nor do items of fewer than `least` tokens. A null id is reported as null. Repeated documents and
     repeated items are each reported. Texts are read whole. Other columns are not read. No rows give no rows.
     """
     postings, documents = build_index(docs, id_col, text_col)
-    return search(postings, documents, benchmark, phrase, slop, share, item_col, item_text_col, item_chars)
+    return search(postings, documents, benchmark, phrase, slop, share, item_col, item_text_col, item_chars, least)
 
 
-def search(postings: DataFrame, documents: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, slop: int = SLOP, share: float = SHARE, item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
+def search(postings: DataFrame, documents: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, slop: int = SLOP, share: float = SHARE, item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS, least: int = 1) -> DataFrame:
     """leaks() over an index that is stored already."""
     if phrase + slop >= GAP:
         raise ValueError(f"phrase and slop together must stay under {GAP}")
@@ -199,34 +201,35 @@ def search(postings: DataFrame, documents: DataFrame, benchmark: DataFrame, phra
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, kind string, start long, item_start int, tokens int"
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    found: list[DataFrame] = []
+
+    def searched(rows: list[tuple]) -> DataFrame:
+        return _portion(spark, postings, documents, rows, phrase, slop, share, schema, item_type, least)
+
     portion: list[tuple] = []
-    portions, chars = [portion], 0
+    chars = 0
     for row in benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("t is not null").toLocalIterator():
         if chars + len(row.t) > item_chars and portion:
-            portions.append(portion := [])
-            chars = 0
+            found.append(written(searched(portion), "matches"))
+            portion, chars = [], 0
         portion.append((row.i, row.t))
         chars += len(row.t)
-    out = None
-    for rows in portions:
-        made = _portion(spark, postings, documents, rows, phrase, slop, share, schema, item_type)
-        out = made if out is None else out.unionAll(made)
-    return out
+    return reduce(DataFrame.unionAll, [*found, searched(portion)])
 
 
-def _portion(spark, postings: DataFrame, documents: DataFrame, rows: list[tuple], phrase: int, slop: int, share: float, schema: str, item_type: pa.DataType) -> DataFrame:
+def _portion(spark, postings: DataFrame, documents: DataFrame, rows: list[tuple], phrase: int, slop: int, share: float, schema: str, item_type: pa.DataType, least: int) -> DataFrame:
     tokens = item_tokens([t for _, t in rows])
     terms = sorted({t for item in tokens for t in item})
     wanted = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": pd.Series(terms, dtype="str")}), "term string"))  # at most item_chars characters
     picked = postings.join(wanted, "term")
     seen = {r.term: r.n for r in picked.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
-    sent = spark.sparkContext.broadcast((list(enumerate(tokens)), seen, pa.array([i for i, _ in rows], item_type), phrase, slop, share))
+    sent = spark.sparkContext.broadcast((list(enumerate(tokens)), seen, pa.array([i for i, _ in rows], item_type), phrase, slop, share, least))
 
     def run(key: tuple, hits: pa.Table, docs: pa.Table) -> pa.Table:
-        items, counts, item_ids, phrase, slop, share = sent.value
+        items, counts, item_ids, phrase, slop, share, least = sent.value
         lists = {t: np.cumsum(np.frombuffer(p, "<u4").astype(np.int64)) for t, p in zip(hits.column("term").to_pylist(), hits.column("postings").to_pylist())}
         doc_ids, starts = docs.column("ids").combine_chunks().flatten(), docs.column("starts").combine_chunks().flatten().to_numpy()
-        found = list(matches(items, lists, counts, phrase, slop, share, starts.tolist()))
+        found = list(matches(items, lists, counts, phrase, slop, share, starts.tolist(), least))
         number, name, position, offset, length = map(list, zip(*found)) if found else ([], [], [], [], [])
         at = np.asarray(position, np.int64)
         doc = np.searchsorted(starts, at, side="right") - 1
@@ -243,8 +246,16 @@ def _portion(spark, postings: DataFrame, documents: DataFrame, rows: list[tuple]
     return picked.select("segment", "term", "postings").groupBy("segment").cogroup(documents.toDF("of_segment", "ids", "starts").groupBy("of_segment")).applyInArrow(run, schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that leaks() reports; rows count as one document if they agree in id and text."""
-    key = F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.xxhash64(F.col(f"`{text_col}`").cast("string")).cast("string"))
-    bad = written(leaks(docs.select(key.alias("__key"), F.col(f"`{text_col}`")), benchmark, id_col="__key", text_col=text_col, **options).select("doc_id").distinct(), "leaks")
-    return docs.withColumn("__key", key).join(bad.withColumnRenamed("doc_id", "__key"), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE, slop: int = SLOP, share: float = SHARE, item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS, least: int = LEAST) -> DataFrame:
+    """docs without those that leaks() reports for items of at least `least` tokens; rows count as one document if they agree in id and text.
+
+    Rows without a match all stay, also null and empty texts. Columns may have any names and pass through. The index is deleted when the matches are known.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))
+    postings, documents = build_index(docs.select(key.alias("key"), text.alias("text")), "key", "text")
+    bad = written(search(postings, documents, benchmark, phrase, slop, share, item_col, item_text_col, item_chars, least).select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    remove(postings)
+    # the columns of docs stay in one struct, so that no name of theirs can meet one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    return rows.join(bad, "key", "left_anti").select("row.*")

@@ -18,22 +18,18 @@ def brute_phrases(doc, item, size):
     return sorted(out)
 
 
-def brute_near(doc, item, size):
-    """Whether at least SHARE of the stretches stand somewhere in one passage."""
+def brute_near(doc, item, size, counts):
+    """Whether at least SHARE of the stretches stand in one passage, by the definition: a stretch stands where its rarest word does."""
     parts = stretches(item, size)
-    places = []
-    counts = {}
-    for d in doc:
-        counts[d] = counts.get(d, 0) + 1
+    span, places = size + SLOP, set()
     for k, part in enumerate(parts):
-        span = size + SLOP
-        for s in range(1 - span, len(doc)):
-            window = doc[max(0, s) : max(0, s + span)]
-            if set(part) <= set(window):
-                places.append((k, s, s + span))
+        rarest = min(set(part), key=lambda t: (counts.get(t, 0), t))
+        for p, word in enumerate(doc):
+            if word == rarest and any(set(part) <= set(doc[max(0, s) : s + span]) for s in range(p - span + 1, p + 1)):
+                places.add((p, k))
     need = max(1, -(-int(SHARE * 1000) * len(parts) // 1000))
     reach = len(item) + SLOP * len(parts)
-    return any(len({k for k, a, b in places if abs(a - p) <= reach}) >= need for _, p, _ in places)
+    return any(len({k for q, k in places if p <= q < p + reach}) >= need for p, _ in places)
 
 
 def world(seed=4):
@@ -74,13 +70,15 @@ def test_against_brute_force(spark):
                 phrases.setdefault((r.doc_id, r.item_id), []).append((r.start, r.item_start, r.tokens))
             else:
                 near.add((r.doc_id, r.item_id))
+        counts = {}
+        for w in (w for doc in tokens.values() for w in doc):
+            counts[w] = counts.get(w, 0) + 1
         for d, doc in tokens.items():
             for k, item in enumerate(items):
                 item = item.split()
                 size = min(PHRASE, len(item))
                 assert sorted(phrases.get((d, k), [])) == brute_phrases(doc, item, size)
-                if (d, k) in near:
-                    assert brute_near(doc, item, size)
+                assert ((d, k) in near) == brute_near(doc, item, size, counts)
                 # a passage that stands there word for word is a proximity match too
                 if any(n == len(item) for _, _, n in phrases.get((d, k), [])):
                     assert (d, k) in near
@@ -103,13 +101,16 @@ def test_the_index_holds_every_token(spark):
 
 
 def test_edge_rows(spark):
-    df = edge.table(spark, extra=["item_id", "kind", "start", "segment", "term"])
+    df = edge.table(spark, extra=["item_id", "kind", "start", "segment", "term", "key", "row", "__key"])
     bench = spark.createDataFrame([(1, "twice the same row"), (1, "twice the same row"), (None, "TEXT without an id"), (2, None), (3, ""), (4, "...")], "item_id int, text string")
     rows = [(r.doc_id, r.item_id) for r in leaks(df, bench).where("kind = 'phrase'").collect()]
     assert sorted(map(str, rows)) == sorted(map(str, [(6, 1)] * 4 + [(None, None)]))
-    kept = drop_leaks(df, bench)
+    kept = drop_leaks(df, bench, least=1)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7", "8"]
+    rows = kept.collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "5", "6", "7", "8"]
+    assert {r[n] for r in rows for n in ("key", "row", "__key")} == {"mine"}
+    assert drop_leaks(df, bench).count() == len(edge.ROWS)  # items of four words drop nothing
     assert leaks(edge.table(spark, []), bench).collect() == []
     assert leaks(df, bench.limit(0)).collect() == []
     assert drop_leaks(df, bench.limit(0)).count() == len(edge.ROWS)
@@ -142,3 +143,16 @@ def test_passages_end_with_their_document():
     assert found(few, last) == []  # together they would have enough
     passages = [(d, p, n) for d, kind, p, n in found(all_, all_) if kind == "proximity"]
     assert len(passages) == 2 and passages[0][1:] == passages[1][1:] and [d for d, *_ in passages] == [0, 1]
+
+
+def test_stretches_of_one_word(spark):
+    """Items of one word, or of one word many times, over segments of which some lack it."""
+    docs = [(1, "alpha beta", "en", "a", 0), (2, "gamma delta", "en", "a", 0), (3, "ha " * 12, "en", "a", 0), (4, "ha ha ha", "en", "a", 0), (5, "alpha", "en", "a", 0)]
+    bench = spark.createDataFrame([(1, "alpha"), (2, "ha " * 10), (3, "omega"), (4, "alpha omega")], "item_id int, text string")
+    for batch in (1, 2, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(r.doc_id, r.item_id, r.kind) for r in leaks(edge.table(spark, docs), bench).collect()}
+        kept = sorted(r.doc_id for r in drop_leaks(edge.table(spark, docs), bench).collect())
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {(1, 1, "phrase"), (1, 1, "proximity"), (5, 1, "phrase"), (5, 1, "proximity"), (3, 2, "phrase"), (3, 2, "proximity"), (4, 2, "proximity")}
+        assert kept == [1, 2, 5]  # one word alone drops no document
