@@ -16,8 +16,6 @@ from spanfold.llm.common import with_columns
 
 #: Documents of each class that training reads at most; the only bound, and it concerns labelled rows alone.
 TRAINING_DOCS = 1_500
-#: Characters of a labelled document that training reads at most.
-TRAINING_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
 #: Bytes at which the evidence of a text counts half: shorter texts draw near the undecided 0.5.
 HALF = 128
@@ -118,7 +116,7 @@ def train(good: list[str], bad: list[str]) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> DataFrame:
-    """(text, quality) of at most `most` documents of each class, the first by md5 of their id.
+    """(text, quality) of at most `most` labelled documents of each class, the first by md5 of their id; their texts whole.
 
     An id with both labels, a null id or a null label, and null or empty texts teach nothing and are left out.
     """
@@ -128,7 +126,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, id_c
     for value in (1, 0):
         part = ids.where(F.col("quality") == value).orderBy(F.md5(F.col("__id").cast("string"))).limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.substring(F.col(f"`{text_col}`"), 1, TRAINING_CHARS).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # chosen has 2 * most rows of two numbers, whatever the size of the tables
     return texts.join(F.broadcast(chosen), "__id").where("text is not null and text != ''").select("text", "quality", F.md5(F.col("__id").cast("string")).alias("__order")).orderBy("__order", "text")
 
