@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanfold.llm.common import with_columns
-
 #: Rows of one source that are ranked together in one task; hashed buckets are even, whatever the source's size.
 ROWS_A_BUCKET = 4_000
 #: Beyond so many sources, positions come from a second exchange instead of a sum over sources.
@@ -22,13 +20,14 @@ def interleave(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id"
     one at most. Every prefix, hence every shard, has each source's share to within about one row.
 
     The rank needs one exchange of the rows, on (source, hash bucket): buckets split a hot source evenly.
-    Counts by bucket come from a first pass over id and source alone. The place of a fractional rank among the
-    other sources is arithmetic on their sizes, so no global sort takes place.
+    Counts by bucket come from a first pass over id and source alone. With up to most_sources sources, the place of a fractional rank among the
+    other sources is arithmetic on their sizes, so no global sort takes place; with more, rows are exchanged once more, by slot of the fractional
+    rank, and counted there. Both ways compare fractions exactly and give the same places.
 
     Null ids and null sources are ordinary values (a null source is a stratum of its own). Rows that agree in
     id and source are ordered by a hash of the whole row; rows that agree in all are interchangeable. Texts
     may be empty, null or of any length. No rows give no rows. Columns of df named shard or shard_pos (in any
-    case) are replaced; others pass through.
+    case) are replaced; others pass through, whatever their names.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
@@ -67,18 +66,38 @@ def interleave(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id"
         placed = placed.withColumn("__pos", position)
     else:
         slots = max(1, -(-total // rows_a_bucket))
-        placed = ranked.join(sizes, "__source").withColumn("__fraction", (2 * F.col("__rank") - 1) / (2 * F.col("__size")))
-        slot = F.floor(F.col("__fraction") * slots).alias("__slot")
-        placed = placed.withColumn("__slot", slot)
+        placed = ranked.join(sizes, "__source")
+        placed = placed.withColumn("__fraction", exact_fraction()).withColumn("__slot", F.expr(f"cast((2 * __rank - 1) * cast({slots} AS decimal(20,0)) div (2 * __size) AS long)"))
+        starts = running_starts(placed.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")))
         ordered = Window.partitionBy("__slot").orderBy("__fraction", "__source")
-        earlier = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-        starts = placed.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).select("__slot", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
         placed = placed.withColumn("__pos", F.row_number().over(ordered) - 1).join(starts, "__slot").withColumn("__pos", F.col("__pos") + F.col("__start"))
     wide = "bigint" if total * shards < 2**62 else "decimal(38,0)"
-    shard = F.expr(f"cast(__pos AS {wide}) * {shards} div {max(total, 1)}")
-    kept = placed.select(F.col("__row"), shard.cast("int").alias("__shard"), F.col("__pos").cast("long").alias("__pos"))
-    flat = kept.select(*(F.col("__row").getField(c).alias(c) for c in names), F.col("__shard"), F.col("__pos"))
-    return with_columns(flat, {"shard": F.col("__shard"), "shard_pos": F.col("__pos")}).drop("__shard", "__pos")
+    shard = F.expr(f"cast(__pos AS {wide}) * {shards} div {max(total, 1)}").cast("int")
+    # the columns of df are in __row all the way, so that no name of theirs can meet one of these
+    own = [F.col("__row").getField(c).alias(c) for c in names if c.lower() not in ("shard", "shard_pos")]
+    return placed.select(*own, shard.alias("shard"), F.col("__pos").cast("long").alias("shard_pos"))
+
+
+def exact_fraction() -> Column:
+    """The first digits of (2 rank - 1) / 2 size, as two decimals of 18 digits each.
+
+    Two such fractions of different value differ by 1 / (4 size^2) at least, so 36 digits tell those of up to 10^17 rows apart.
+    """
+    step = "cast(1000000000000000000 AS decimal(19,0))"
+    top, bottom = "cast(2 * __rank - 1 AS decimal(19,0))", "cast(2 * __size AS decimal(19,0))"
+    high = f"(({top} * {step}) div {bottom})"
+    rest = f"(cast(({top} * {step}) % {bottom} AS decimal(19,0)) * {step})"
+    return F.expr(f"named_struct('high', {high}, 'low', {rest} div {bottom})")
+
+
+def running_starts(counts: DataFrame, chunk: int = 4_096) -> DataFrame:
+    """(__slot, __start): how many rows the slots before it have. Sums of chunks of slots come first, so no task holds all slots."""
+    held = counts.withColumn("__chunk", F.expr(f"__slot div {chunk}"))
+    before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row for each chunk of slots
+    chunks = held.groupBy("__chunk").agg(F.sum("__n").alias("__all")).select("__chunk", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy("__chunk").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    within = held.select("__slot", "__chunk", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__at"))
+    return within.join(chunks, "__chunk").select("__slot", (F.col("__at") + F.col("__first")).alias("__start"))
 
 
 def row_key_of(column: str):

@@ -1,7 +1,7 @@
 import hashlib
 from fractions import Fraction
 
-from spanfold.llm.sharding import interleave, write_shards
+from spanfold.llm.sharding import exact_fraction, interleave, running_starts, write_shards
 from tests.llm import edge
 
 
@@ -38,13 +38,15 @@ def test_every_shard_has_the_mixture(spark):
 
 
 def test_edge_rows(spark):
-    df = edge.table(spark, extra=["SHARD", "shard_pos", "__own"])
-    got = interleave(df, 3)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "__own", "shard", "shard_pos"]
-    rows = got.collect()
-    assert sorted(r.shard_pos for r in rows) == list(range(len(edge.ROWS)))
-    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r[0]), str(r[1])) for r in edge.ROWS)
-    assert {r["__own"] for r in rows} == {"mine"}
+    more = ["__own", "__pos", "__shard", "__row", "__source", "__key", "__bucket", "__tie", "__hash", "__rank", "__before", "__sizes", "__slot", "__fraction", "__start", "__chunk", "__n"]
+    df = edge.table(spark, extra=["SHARD", "shard_pos", *more])
+    for options in ({}, {"most_sources": 1}):
+        got = interleave(df, 3, **options)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *more, "shard", "shard_pos"]
+        rows = got.collect()
+        assert sorted(r.shard_pos for r in rows) == list(range(len(edge.ROWS)))
+        assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r[0]), str(r[1])) for r in edge.ROWS)
+        assert {r[n] for r in rows for n in more} == {"mine"}
     assert interleave(edge.table(spark, []), 3).collect() == []
 
 
@@ -54,3 +56,17 @@ def test_shards_are_written_in_order(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 400
     assert back.groupBy("shard").count().count() == 4
+
+
+def test_both_ways_order_fractions_exactly(spark):
+    """Fractions that agree in their first 16 digits are told apart, and equal ones are not."""
+    from pyspark.sql import functions as F
+
+    big = [(4 * 10**16, 10**17 - 1), (4 * 10**16 + 1, 10**17 - 1), (4 * 10**16, 10**17 - 3), (1, 3), (2, 9), (2, 3)]
+    df = spark.createDataFrame(big, "__rank long, __size long").select("*", exact_fraction().alias("f"))
+    got = {(r["__rank"], r["__size"]): (int(r.f.high), int(r.f.low)) for r in df.collect()}
+    order = sorted(big, key=lambda x: Fraction(2 * x[0] - 1, 2 * x[1]))
+    assert [got[x] for x in order] == sorted(got.values())
+    assert got[1, 3] != got[2, 3] and len(set(got.values())) == len({Fraction(2 * a - 1, 2 * b) for a, b in big})
+    starts = running_starts(spark.range(50).select(F.col("id").alias("__slot"), (F.col("id") + 1).alias("__n")), chunk=7)
+    assert {r["__slot"]: r["__start"] for r in starts.collect()} == {i: i * (i + 1) // 2 for i in range(50)}
