@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Events in the order in which they take effect when they share a sequence number.
@@ -24,8 +24,8 @@ class Conversation:
         self.last: tuple | None = None
 
     def apply(self, event: tuple) -> None:
-        """One event (seq, kind, message_id, role, text); an event equal to the one before it has been applied already."""
-        if event == self.last:
+        """One event (seq, kind, message_id, role, text); one with a number that equals the one before it has been applied already."""
+        if event == self.last and event[0] is not None:
             return
         self.last = event
         _, kind, name, role, text = event
@@ -75,7 +75,8 @@ def reconstruct(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "se
 
     Null text counts as empty, a null role is rendered `unknown`, a null message id is an id like others, null sequence
     numbers come first, and null conversations form one of their own. Events of one sequence number apply in the order of KINDS, then by message id, text
-    and role. An event delivered twice applies once. A delta for an unknown message opens it; edits, regenerations
+    and role. An event delivered twice applies once; events without a number can't be told from repeats and each apply. Messages and
+    conversations of any length are folded whole, a conversation in one task. A delta for an unknown message opens it; edits, regenerations
     and deletions of unknown messages, and kinds that are null or unknown, change nothing. A conversation left without messages is a row with
     0 and an empty text. Other columns are not read. No rows give no rows.
     """
@@ -117,22 +118,39 @@ def reconstruct(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "se
     return sent.select("conv_id", *COLUMNS).mapInArrow(run, f"conv_id {kind}, n_messages int, rendered string")
 
 
-def turns_to_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", delta_chars: int = DELTA_CHARS) -> DataFrame:
+def turns_to_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", delta_chars: int = DELTA_CHARS, revised: bool = False) -> DataFrame:
     """The log that a table of turns stands for: assistant turns stream as a start and deltas, others are whole messages.
 
-    seq is a decimal with the turn before the point and the number of the event in its turn after it. A turn that is there twice
-    is rebuilt once, from the text that sorts last.
+    With revised, the log is one of a lively conversation that ends in the same messages: by the first digit of md5(role, text), a streamed turn
+    is begun, answered, and then regenerated; another message is sent with other words and edited; another one is preceded by a message
+    that is deleted. Some events are delivered twice.
+
+    seq is a struct of the turn, md5 of role and text, and the number of the event in its turn. Rows that agree in conversation, turn, role
+    and text are one message, delivered more than once; other messages of one turn, also of the null one, follow each other in the order of md5.
+    Null texts are empty, null roles are kept null, null turns come first. No rows give no rows. Other columns are not read.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), text.alias("text"))
-    base = base.groupBy("conv_id", "turn").agg(F.max(F.struct("text", "role")).alias("t")).select("conv_id", "turn", "t.role", "t.text")
-    streamed = F.col("role") == "assistant"
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") + delta_chars - 1) / delta_chars).cast("int")), lambda i: F.struct(
-        i.alias("n"),
-        F.when(i == 0, F.lit("start")).otherwise(F.lit("delta")).alias("kind"),
-        F.when(i > 0, F.col("text").substr((i - 1) * delta_chars + 1, F.lit(delta_chars))).otherwise(F.lit("")).alias("part"),
-    ))
-    whole = F.array(F.struct(F.lit(0).alias("n"), F.lit("message").alias("kind"), F.col("text").alias("part")))
-    events = base.select("conv_id", "turn", "role", F.explode(F.when(F.coalesce(streamed, F.lit(False)), chunks).otherwise(whole)).alias("e"))
-    seq = (F.col("turn").cast("decimal(20,0)") + F.col("e.n").cast("decimal(10,0)") / F.lit(10_000_000_000).cast("decimal(11,0)")).cast("decimal(30,10)")
-    return events.select("conv_id", seq.alias("seq"), F.col("e.kind").alias("kind"), F.col("turn").cast("string").alias("message_id"), "role", F.col("e.part").alias("text"))
+    key = F.md5(F.concat(F.coalesce(F.concat(F.length("role"), F.lit("="), F.col("role")), F.lit("-")), F.lit("|"), F.col("text")))
+    base = base.withColumn("key", key).withColumn("name", F.concat_ws(".", F.coalesce(F.col("turn").cast("string"), F.lit("-")), "key"))
+
+    def event(kind: str, text: Column | str, suffix: str = "") -> Column:
+        name = F.concat(F.col("name"), F.lit(suffix)) if suffix else F.col("name")
+        return F.struct(F.lit(kind).alias("kind"), name.alias("message_id"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+
+    deltas = F.transform(F.expr(f"if(text = '', array(), sequence(1, cast((length(text) + {delta_chars - 1}) div {delta_chars} AS int)))"), lambda i: event("delta", F.col("text").substr((i - 1) * delta_chars + 1, F.lit(delta_chars))))
+    streamed = F.concat(F.array(event("start", "")), deltas)
+    whole = F.array(event("message", F.col("text")))
+    if revised:
+        digit = F.substring("key", 1, 1)
+        tried = F.array(event("start", ""), event("delta", F.reverse("text")), event("message", "to be dropped", "/later"), event("regenerate", ""))
+        streamed = F.when(digit < "8", F.concat(tried, deltas)).otherwise(streamed)
+        edited = F.array(event("message", F.reverse("text")), event("edit", F.col("text")))
+        gone = F.array(event("message", "said by mistake", "/gone"), event("delete", "", "/gone"), event("message", F.col("text")))
+        whole = F.when(digit < "6", edited).when(digit < "9", gone).otherwise(whole)
+    told = F.when(F.coalesce(F.col("role") == "assistant", F.lit(False)), streamed).otherwise(whole)
+    events = base.select("conv_id", "turn", "key", "role", F.posexplode(told).alias("n", "e"))
+    if revised:  # one event in four comes twice
+        again = F.when(F.substring("key", 2, 1) < "4", 2).otherwise(1)
+        events = events.withColumn("copy", F.explode(F.sequence(F.lit(1), again)))
+    return events.select("conv_id", F.struct("turn", "key", "n").alias("seq"), F.col("e.kind").alias("kind"), F.col("e.message_id").alias("message_id"), "role", F.col("e.text").alias("text"))

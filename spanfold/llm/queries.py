@@ -41,7 +41,8 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.reconstruct(chat.turns_to_events(table(spark, sf_dir, "conversations")))
+    """Conversations folded from a log with streams, edits, regenerations, deletions and repeated deliveries."""
+    return chat.reconstruct(chat.turns_to_events(table(spark, sf_dir, "conversations"), revised=True))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +80,8 @@ WITH r AS (
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * size), source) - 1 AS shard_pos, count(*) OVER () AS total FROM r)
 SELECT doc_id, text, lang, source, n_chars, CAST(shard_pos * {SHARDS} // total AS INTEGER) AS shard, shard_pos FROM p""",
     "op7_chat_formatting": """
-WITH t AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(text, '') DESC, role DESC) = 1)
+WITH t AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
-  string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
+  string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, md5(coalesce(length(role)::VARCHAR || '=' || role, '-') || '|' || text)) AS rendered
 FROM t GROUP BY conv_id""",
 }

@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from spanfold.llm.chat import KINDS, escape, reconstruct, turns_to_events
 
 SCHEMA = "conv_id long, seq long, kind string, message_id string, role string, text string, rendered string, at int"
@@ -76,12 +79,32 @@ def test_edge_rows(spark):
     assert reconstruct(events(spark, [])).collect() == []
 
 
+def key(role, text):
+    return hashlib.md5(((f"{len(role)}={role}" if role is not None else "-") + "|" + text).encode()).hexdigest()
+
+
 def test_turns(spark):
-    turns = [(1, 0, "system", "s"), (1, 1, "user", "é" * 700), (1, 2, "assistant", "🎂b" * 600), (2, 0, "assistant", None), (2, 0, "assistant", ""), (2, 1, None, "x"), (2, 1, None, "y"), (None, None, "user", "z")]
-    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
-    log = turns_to_events(df)
-    assert log.where("kind = 'delta'").count() == 5
-    got = {r.conv_id: r.rendered for r in reconstruct(log).collect()}
-    assert got[1] == shown(("system", "s"), ("user", "é" * 700), ("assistant", "🎂b" * 600))
-    assert got[2] == shown(("assistant", ""), ("unknown", "y"))
-    assert got[None] == shown(("user", "z"))
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "é" * 700), (1, 2, "assistant", "🎂b" * 600), (2, 0, "assistant", None), (2, 0, "assistant", ""), (2, 1, None, "x"), (2, 1, None, "y"), (2, 1, "-", "x"), (None, None, "user", "z"), (None, None, "user", "w"), (None, 3, "user", "v"), (None, 3, "user", "v")]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumns({n: F.lit(1) for n in ("seq", "kind", "key", "name", "n", "e", "copy")})
+    assert turns_to_events(df).where("kind = 'delta'").count() == 5
+    want = {}
+    for conv, turn, role, text in sorted({(c, t, r, x or "") for c, t, r, x in turns}, key=lambda m: (str(m[0]), -1 if m[1] is None else m[1], key(m[2], m[3]))):
+        want.setdefault(conv, []).append((role or "unknown", text))
+    for revised in (False, True):
+        got = {r.conv_id: (r.n_messages, r.rendered) for r in reconstruct(turns_to_events(df, revised=revised)).collect()}
+        assert got == {c: (len(m), shown(*m)) for c, m in want.items()}
+    assert turns_to_events(df.limit(0), revised=True).collect() == []
+
+
+def test_a_revised_log_has_every_kind_of_event(spark):
+    turns = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} " * 40) for c in range(20) for t in range(6)]
+    log = turns_to_events(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"), revised=True)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(KINDS)
+    assert log.count() > log.distinct().count()
+    got = {r.conv_id: r.rendered for r in reconstruct(log.repartition(3)).collect()}
+    assert got == {c: shown(*((r, x) for k, _, r, x in turns if k == c)) for c in range(20)}
+
+
+def test_events_without_a_number_each_apply(spark):
+    rows = [(1, None, "delta", "m", "user", "ha"), (1, None, "delta", "m", "user", "ha"), (1, 5, "delta", "m", "user", "!"), (1, 5, "delta", "m", "user", "!")]
+    assert [r.rendered for r in reconstruct(events(spark, rows)).collect()] == [shown(("user", "haha!"))]
