@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,16 @@ _HIDING = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head title script style template noscript noembed noframes iframe datalist object video audio canvas svg math area base link meta param source track rp".split())
+HIDDEN = frozenset("head title script style template noscript noembed noframes iframe datalist video audio canvas area base link meta param source track rp annotation annotation-xml".split())
+#: In drawings only text elements and foreign objects are seen, and not inside these.
+DRAWN = frozenset(["text", "foreignobject"])
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Elements inside which a drawing or a formula holds HTML again, and tags that end a drawing or a formula that was left open.
+_INNER = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_FOREIGN = frozenset(["svg", "math"])
+_BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: Blocks set apart by an empty line, and blocks that only start a line.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr xmp menu".split())
 LINE = frozenset(
@@ -57,10 +67,10 @@ _FOSTERING = _ROWS | _TABLE | frozenset(["colgroup"])
 _OF_TABLE = _ROWS | frozenset("caption colgroup col td th script style template".split())
 _BOUNDS = _CELL | frozenset(["template"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements nest so deep at most; the contents of deeper ones belong to the last that counts.
-DEEPEST = 200
-#: Columns of tables are aligned up to this width.
-WIDEST = 60
+#: Cells are padded to the width of their column, and to this width where the column is wider.
+WIDEST = 120
+#: Columns by which nested lists and quotes are indented at most.
+INDENTED = 80
 
 
 class Node:
@@ -78,127 +88,174 @@ class Node:
         return out
 
 
-def build(source: str) -> Node:
-    """The tree of a page, with the tags that HTML lets an author leave out."""
-    root = Node("html")
-    stack = [root]
+class Open:
+    """The open elements from the root inwards, and where those of each tag are, so that none has to be searched for."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places, self.deepest = [root], {}, 1
+
+    @property
+    def now(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.deepest = max(self.deepest, len(self.nodes))
+
+    def cut(self, size: int) -> None:
+        """Leave `size` elements open."""
+        while len(self.nodes) > size:
+            self.places[self.nodes.pop().tag].pop()
 
-    def close(wanted: frozenset[str], beyond: frozenset[str], all_: bool = False) -> None:
+    def last(self, tags: frozenset[str], but: frozenset[str] = frozenset()) -> int:
+        """The place of the innermost of these tags, 0 if none is open."""
+        places = self.places
+        return max((places[t][-1] for t in tags if t not in but and places.get(t)), default=0)
+
+    def close(self, wanted: frozenset[str], beyond: frozenset[str], all_: bool = False) -> None:
         """End the innermost wanted element (with all_, every one) that is open inside the elements beyond."""
-        for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag
-            if tag in wanted:
-                del stack[i:]
-                if not all_:
-                    return
-            elif tag in beyond:
+        limit = self.last(beyond, wanted)
+        while (at := self.last(wanted)) > limit:
+            self.cut(at)
+            if not all_:
                 return
 
-    def open_table() -> int:
+    def table(self) -> int:
         """The place of the innermost table, 0 if none is open or a cell, caption or template is open in it."""
-        k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _BOUNDS), 0)
-        return k if stack[k].tag == "table" else 0
+        at = self.last(_BOUNDS)
+        return at if self.nodes[at].tag == "table" else 0
 
-    def foster(child: Node | str) -> None:
+    def foster(self, child: Node | str) -> None:
         """Put what is no part of a table before the table that it stands in."""
-        k = open_table()
-        if k and stack[-1].tag == "colgroup":
-            stack.pop()
+        k = self.table()
+        if k and self.now.tag == "colgroup":
+            self.cut(len(self.nodes) - 1)
         if k:
-            stack[k - 1].children.insert(-1, child)  # an open table is its parent's last child
+            self.nodes[k - 1].children.insert(-1, child)  # an open table is its parent's last child
         else:
-            stack[-1].children.append(child)
+            self.now.children.append(child)
 
-    def words(text: str) -> None:
+    def words(self, text: str) -> None:
         if text:
             plain = html.unescape(text) if "&" in text else text
-            if stack[-1].tag in _FOSTERING and not text.isspace():
-                foster(plain)
+            if self.now.tag in _FOSTERING and not text.isspace():
+                self.foster(plain)
             else:
-                stack[-1].children.append(plain)
+                self.now.children.append(plain)
 
-    def clear(tag: str) -> None:
+    def clear(self, tag: str) -> None:
         """End what stands in an open table where it doesn't belong, up to what may hold the tag."""
-        k = open_table()
-        if k and not (tag == "col" and stack[-1].tag == "colgroup"):
+        k = self.table()
+        if k and not (tag == "col" and self.now.tag == "colgroup"):
             holds = {"tr": _ROWS - {"tr"}, "td": _ROWS, "th": _ROWS}.get(tag, frozenset())
-            while k + 1 < len(stack) and stack[k + 1].tag in holds:
+            while k + 1 < len(self.nodes) and self.nodes[k + 1].tag in holds:
                 k += 1
-            del stack[k + 1 :]
-
-    at, size = 0, len(source)
-    p_only, p_beyond = frozenset(["p"]), _CELL | frozenset(["button", "object"])
-    for found in iter_tokens(source):
-        start, stop, end, tag, rest = found
-        words(source[at:start])
-        at = stop
-        if not tag:
-            continue
-        if end:
-            if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p":
-                if not any(n.tag == "p" for n in stack):
-                    stack[-1].children.append(Node("p"))
-                close(p_only, p_beyond)
-            elif tag in HEADINGS:
-                close(HEADINGS, _CELL)
-            elif tag in ("body", "html"):
-                continue
-            elif tag in ("table", "tr", "thead", "tbody", "tfoot"):
-                close(frozenset([tag]), _TABLE - {tag})
-            elif tag in ("td", "th", "caption"):
-                close(frozenset([tag]), _TABLE)
-            elif tag == "li":
-                close(frozenset([tag]), _LISTS | _CELL)
-            elif tag == "template":
-                close(frozenset([tag]), frozenset())
-            else:
-                close(frozenset([tag]), _CELL - {tag})
+            self.cut(k + 1)
+
+
+_P, _A, _TEMPLATE, _NONE = frozenset(["p"]), frozenset(["a"]), frozenset(["template"]), frozenset()
+_BEYOND_P = _CELL | frozenset(["button", "object"])
+
+
+def end_tag(stack: Open, tag: str) -> None:
+    one = frozenset([tag])
+    if tag == "br":
+        stack.now.children.append(Node("br"))
+    elif tag == "p":
+        if not stack.places.get("p"):
+            stack.now.children.append(Node("p"))
+        stack.close(_P, _BEYOND_P)
+    elif tag in HEADINGS:
+        stack.close(HEADINGS, _CELL)
+    elif tag in ("body", "html"):
+        return
+    elif tag in ("table", "tr", "thead", "tbody", "tfoot"):
+        stack.close(one, _TABLE - one)
+    elif tag in ("td", "th", "caption"):
+        stack.close(one, _TABLE)
+    elif tag == "li":
+        stack.close(one, _LISTS | _CELL)
+    elif tag == "template":
+        stack.close(one, _NONE)
+    else:
+        stack.close(one, _CELL - one)
+
+
+def start_tag(stack: Open, tag: str, rest: str, foreign: bool) -> Node | None:
+    """Put a new element in its place and give it; none if the tag makes no element."""
+    if tag in ("html", "body"):
+        if tag == "body":
+            stack.cut(1)
+        return None
+    if tag not in HIDDEN and len(stack.nodes) > 1 and stack.nodes[1].tag == "head" and tag != "head":
+        stack.cut(1)  # the body begins
+    if tag in _ROWS and not stack.places.get("table"):
+        return None  # no table is open
+    if tag in CLOSES_P and not foreign:
+        stack.close(_P, _BEYOND_P)
+    if tag in HEADINGS and stack.now.tag in HEADINGS:
+        stack.cut(len(stack.nodes) - 1)
+    if tag in IMPLIED:
+        wanted, beyond = IMPLIED[tag]
+        stack.close(wanted, beyond, all_=tag not in ("li", "dt", "dd"))
+    if tag == "a":
+        stack.close(_A, _CELL)
+    if tag in _OF_TABLE and tag not in RAW and tag != "template":
+        stack.clear(tag)
+    elif tag == "table" and (k := stack.table()):
+        stack.cut(k)  # a table can't hold a table but in a cell
+    elif tag == "form" and stack.table():
+        return None  # holds nothing there
+    if tag in ("td", "th") and stack.now.tag in ("table", "thead", "tbody", "tfoot"):
+        row = Node("tr")
+        stack.now.children.append(row)
+        stack.push(row)
+    if tag == "option" and stack.now.tag == "option":
+        stack.cut(len(stack.nodes) - 1)
+    node = Node(tag, rest)
+    if stack.now.tag in _FOSTERING and tag not in _OF_TABLE:
+        stack.foster(node)
+    else:
+        stack.now.children.append(node)
+    return node
+
+
+def tree(source: str) -> tuple[Node, int]:
+    """The tree of a page, with the tags that HTML lets an author leave out, and how deep it is."""
+    root = Node("html")
+    stack = Open(root)
+    at = 0
+    while found := _TOKEN.search(source, at):
+        stack.words(source[at : found.start()])
+        at = found.end()
+        if not found["tag"]:
             continue
-        if tag in ("html", "body"):
-            if tag == "body":
-                del stack[1:]
+        tag, rest = found["tag"].lower(), found["rest"] or ""
+        if found["end"]:
+            end_tag(stack, tag)
             continue
-        if tag not in HIDDEN and len(stack) > 1 and stack[1].tag == "head" and tag != "head":
-            del stack[1:]  # the body begins
-        if tag in _ROWS and not any(n.tag == "table" for n in stack):
-            continue  # no table is open
-        if tag in CLOSES_P:
-            close(p_only, p_beyond)
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
-        if tag in IMPLIED:
-            wanted, beyond = IMPLIED[tag]
-            close(wanted, beyond, all_=tag not in ("li", "dt", "dd"))
-        if tag == "a":
-            close(frozenset(["a"]), _CELL)
-        if tag in _OF_TABLE and tag not in RAW and tag != "template":
-            clear(tag)
-        elif tag == "table" and (k := open_table()):
-            del stack[k:]  # a table can't hold a table but in a cell
-        elif tag == "form" and open_table():
-            continue  # holds nothing there
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            if len(stack) < DEEPEST:
-                stack.append(row)
-        if tag == "option" and stack[-1].tag == "option":
-            stack.pop()
-        node = Node(tag, rest)
-        if stack[-1].tag in _FOSTERING and tag not in _OF_TABLE:
-            foster(node)
-        else:
-            stack[-1].children.append(node)
+        drawing = stack.last(_FOREIGN)
+        foreign = drawing > stack.last(_INNER) if drawing else False
+        if foreign and tag in _BREAKS:
+            stack.cut(drawing)
+            foreign = False
+        node = start_tag(stack, tag, rest, foreign)
+        if foreign and rest.rstrip().endswith("/"):
+            continue  # an element that ends itself
         if tag in RAW or tag in RCDATA:
-            text, at = raw_text(source, tag, at, size)
-            if tag == "textarea" or tag == "xmp":
+            text, at = raw_text(source, tag, at, len(source))
+            if node is not None and tag in ("textarea", "xmp"):
                 node.children.append(html.unescape(text) if tag == "textarea" else text)
-        elif tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
-    words(source[at:])
-    return root
+        elif node is not None and tag not in VOID:
+            stack.push(node)
+    stack.words(source[at:])
+    return root, stack.deepest
+
+
+def build(source: str) -> Node:
+    """The tree of a page."""
+    return tree(source)[0]
 
 
 def raw_text(source: str, tag: str, at: int, size: int) -> tuple[str, int]:
@@ -207,19 +264,6 @@ def raw_text(source: str, tag: str, at: int, size: int) -> tuple[str, int]:
     return (source[at : found.start()], found.end()) if found else (source[at:], size)
 
 
-def iter_tokens(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
-    """(start, stop, is end tag, tag, attributes) of each tag; comments and the like have no tag."""
-    at = 0
-    while found := _TOKEN.search(source, at):
-        tag = found["tag"]
-        low = tag.lower() if tag else ""
-        yield found.start(), found.end(), bool(found["end"]), low, found["rest"] or ""
-        at = found.end()
-        if low in RAW or low in RCDATA:
-            if not found["end"]:
-                at = raw_text(source, low, at, len(source))[1]
-
-
 class Page:
     """Lines of text under construction."""
 
@@ -277,10 +321,14 @@ class Page:
         return "\n".join(line.rstrip(" ") for line in "".join(self.parts).split("\n")).strip("\n")
 
 
-def hidden(node: Node, seen: bool) -> tuple[bool, bool]:
-    """Whether the element takes no place at all, and whether text in it is seen."""
-    if node.tag in HIDDEN:
+def hidden(node: Node, seen: bool | None) -> tuple[bool, bool | None]:
+    """Whether the element takes no place at all, and whether text in it is seen (None: in a drawing, where only some elements show theirs)."""
+    if node.tag in HIDDEN or (seen is None and node.tag in UNDRAWN):
         return True, False
+    if node.tag == "svg":
+        seen = None if seen else seen
+    elif seen is None and node.tag in DRAWN:
+        seen = True
     if not node.rest.strip():
         return node.tag == "dialog", seen
     a = node.attributes()
@@ -291,11 +339,11 @@ def hidden(node: Node, seen: bool) -> tuple[bool, bool]:
         if (name.lower(), value.lower()) in (("display", "none"), ("content-visibility", "hidden")):
             return True, False
         if name.lower() == "visibility":
-            seen = value.lower() == "visible"
+            seen = (seen is not None or None) if value.lower() == "visible" else False
     return False, seen
 
 
-def render(node: Node, page: Page, seen: bool = True, kept: bool = False, number: list | None = None) -> None:
+def render(node: Node, page: Page, seen: bool | None = True, kept: bool = False, number: list | None = None) -> None:
     """Set what is visible in an element; kept: its white space stands as written."""
     for child in node.children:
         if isinstance(child, str):
@@ -336,7 +384,7 @@ def render(node: Node, page: Page, seen: bool = True, kept: bool = False, number
                 number[0] = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else number[0] + 1
                 marker = f"{number[0]}. "
             outer, page.marker = page.indent, marker if shown else ""
-            page.indent = outer + " " * len(marker)
+            page.indent = (outer + " " * len(marker))[:INDENTED]
             render(child, page, shown, kept, [None])
             page.indent, page.marker = outer, ""
             page.begin(1)
@@ -350,7 +398,7 @@ def render(node: Node, page: Page, seen: bool = True, kept: bool = False, number
             page.begin(2 if tag != "textarea" else 1)
         elif tag == "dd" or tag == "blockquote":
             page.begin(2 if tag == "blockquote" else 1)
-            outer, page.indent = page.indent, page.indent + "  "
+            outer, page.indent = page.indent, (page.indent + "  ")[:INDENTED]
             render(child, page, shown, kept, None)
             page.indent = outer
             page.begin(2 if tag == "blockquote" else 1)
@@ -361,12 +409,21 @@ def render(node: Node, page: Page, seen: bool = True, kept: bool = False, number
                     render(part, page, shown, kept)
                     break
             page.begin(1)
+        elif tag == "optgroup" or tag == "option":
+            page.begin(1)
+            label = child.attributes().get("label", "") if child.rest.strip() else ""
+            if shown and label:
+                page.text(label)
+                page.begin(1)
+            if tag == "optgroup" or not label:
+                render(child, page, shown, kept)
+            page.begin(1)
         elif tag in APART or tag in LINE:
             lines = 2 if tag in APART else 1
             page.begin(lines)
             render(child, page, shown, kept, number if tag in ("div",) else None)
             page.begin(lines)
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th") or (tag in DRAWN and seen is None):
             page.begin(1)
             render(child, page, shown, kept)
             page.begin(1)
@@ -445,7 +502,7 @@ def table(node: Node, page: Page, seen: bool) -> None:
             line = []
             for c in shown_columns:
                 words = cells[c][k] if c in cells and k < len(cells[c]) else ""
-                line.append(words.ljust(widths[c]) if widths[c] <= WIDEST else words)
+                line.append(words.ljust(min(widths[c], WIDEST)))
             joined = " | ".join(line).rstrip()
             if joined.strip(" |"):
                 page.begin(1)
@@ -463,7 +520,13 @@ def to_text(source: str | None) -> str | None:
     if source is None:
         return None
     page = Page()
-    render(build(source), page)
+    root, deepest = tree(source)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 4 * deepest + 1_000))  # rendering takes up to three calls a level, all of them on the heap
+    try:
+        render(root, page)
+    finally:
+        sys.setrecursionlimit(before)
     return page.result()
 
 
@@ -472,13 +535,14 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "page
 
     A tree is built with the tags that may be left out (p, li, dt, dd, tr, td, tbody, option, ... and head and
     body); unclosed, misplaced and cut-off tags do no harm. Not shown: head, scripts, styles, templates, noscript,
-    media, `hidden`, display:none, visibility:hidden, hidden inputs, closed dialogs and all but the summary of closed details. All other text is.
+    images, frames, and video, audio and canvas with what they hold for readers that lack them; `hidden`, display:none, visibility:hidden, hidden inputs, closed
+    dialogs and all but the summary of closed details; in drawings all but text elements, in formulas annotations. All other text is, at any depth,
+    also what stands where a table can't hold it (it goes before the table), labels of options, and what objects hold for readers that can't load them.
     Blocks start lines, and paragraphs, headings, lists and tables are set apart by an empty line; list items have
-    "- " or their number and are indented by depth; cells are joined with " | " and padded to the column's
-    width (columns wider than WIDEST are not padded); pre keeps its white space.
+    "- " or their number and are indented by depth, up to INDENTED columns; cells are joined with " | " and padded to the column's
+    width, up to WIDEST characters (longer cells push the next ones on); pre keeps its white space.
 
-    One narrow pass, no exchange. Null gives null, empty gives empty. Elements nested beyond DEEPEST
-    belong to their last counted ancestor. Pages of any length are read whole. Other columns pass through; one named page_text is replaced. Repeated
+    One narrow pass, no exchange. Null gives null, empty gives empty. Pages of any length and depth are read whole, in time that grows with their length. Other columns pass through; one named page_text is replaced. Repeated
     rows are rendered each. No rows give no rows.
     """
 

@@ -2,6 +2,7 @@ import random
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanfold.llm.html import build, extract_text, to_text
 
@@ -45,24 +46,60 @@ class Words(HTMLParser):
         self.words, self.off = [], 0
 
     def handle_starttag(self, tag, attrs):
-        self.off += tag in ("head", "script", "style")
+        self.off += tag in ("head", "script", "style", "noscript", "template")
+        if tag == "li":
+            self.words.append("-")
 
     def handle_endtag(self, tag):
-        self.off -= tag in ("head", "script", "style")
+        self.off -= tag in ("head", "script", "style", "noscript", "template")
 
     def handle_data(self, data):
         if not self.off:
             self.words.append(data)
 
 
-def test_words_of_real_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    for row in extract_text(pages, text_col="t").join(pages, "page_id").select("page_id", "t", "html").collect():
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_words_of_real_pages(spark, sf):
+    """All characters but white space, none more and none less, of every page."""
+    for row in extract_text(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").withColumn("source", F.col("html")), text_col="t").collect():
         other = Words()
-        other.feed(row.html)
-        want = "".join("".join(other.words).split())
-        got = "".join(line.removeprefix("- ") for line in row.t.split("\n"))
-        assert "".join(got.split())[: len(want) - 20] == want[: len(want) - 20]
+        other.feed(row.source)
+        other.close()
+        assert "".join(row.t.split()) == "".join("".join(other.words).split()), row.page_id
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x y=2"),
+        ("<svg><title>no</title><path d=a /><style/><g>no<text>one</text><text>two</text></g></svg>end", "one\ntwo\nend"),
+        ("<svg><circle r=1><p>left open", "left open"),
+        ("<div style='display:none'><svg><text>no</text></svg></div>yes", "yes"),
+        ("<svg><foreignObject><div>in<b>side</b></div></foreignObject></svg>", "inside"),
+        ("<object data=x>shown</object> <video>no</video>", "shown"),
+        ("<select><optgroup label=Fruit><option>apple<option label=Pear>p</optgroup></select>", "Fruit\napple\nPear"),
+        ("<table><tr><td>" + "w" * 200 + "<td>b<tr><td>a<td>c</table>", "w" * 200 + " | b\n" + "a".ljust(120) + " | c"),
+    ],
+)
+def test_what_else_is_seen(source, text):
+    assert to_text(source) == text
+
+
+@pytest.mark.parametrize("depth", [250, 5_000, 60_000])
+def test_rules_hold_at_any_depth(depth):
+    inner = "<div hidden><b>no</b></div><noscript>no</noscript><ul><li>yes</ul><table><tr><td>a<td>b<tr><td>long<td>c</table>"
+    assert to_text("<div>" * depth + inner) == "- yes\n\na    | b\nlong | c"
+    assert to_text("<b>" * depth + "<i>x</i>" * 100 + "</u>" * depth) == "x" * 100
+
+
+def test_time_grows_with_the_length():
+    """Pages that make a search through open elements, or a stray text's place, long."""
+    import time
+
+    for page in ("<table>" + "stray<tr>" * 60_000, "<b>" * 40_000 + "<p>x</i>" * 40_000, "<table><tr><td>" + "<i>" * 40_000 + "<li>x" * 40_000, "<blockquote>x" * 20_000):
+        began = time.process_time()
+        assert to_text(page)
+        assert time.process_time() - began < 30
 
 
 def test_edge_rows(spark):
