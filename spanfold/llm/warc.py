@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +34,17 @@ def record(kind: str, name: str, date: str, fields: list[tuple[str, str]], body:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
-def page_record(name: str, date: str, page_id: object, url: str | None, html: str | None) -> bytes:
+def page_record(name: str, date: str, page_id: object, url: str | None, html: bytes | None) -> bytes:
     fields = [] if url is None else [("WARC-Target-URI", _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))]
     fields.append(("Content-Type", "text/html; charset=utf-8"))
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if html is None:
         fields.append(("X-Content", "null"))
-    return record("resource", name, date, fields, (html or "").encode("utf-8", "surrogatepass"))
+    return record("resource", name, date, fields, html or b"")
 
 
-def archive(label: str, rows: list[tuple[object, str | None, str | None]], date: str) -> tuple[bytes, int, int, list[tuple[int, int]]]:
+def archive(label: str, rows: list[tuple[object, str | None, bytes | None]], date: str) -> tuple[bytes, int, int, list[tuple[int, int]]]:
     """The bytes of an archive, its dictionary's size, its records' size, and (offset, length) of each row's frame."""
     space = uuid.uuid5(uuid.NAMESPACE_URL, label)
     records = [page_record(str(uuid.uuid5(space, str(k))), date, *row) for k, row in enumerate(rows)]
@@ -75,7 +76,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A null url leaves out the target, null HTML is an empty block with X-Content: null, a null id has no X-Page-ID.
     Control characters and spaces of a url are percent-encoded. Empty and very long pages and repeated rows are records like
-    others (a page longer than archive_bytes closes its archive). No rows give no archive. Other columns are not archived.
+    others (a page longer than archive_bytes closes its archive). store_archives() writes the archives as files. No rows give no archive. Other columns are not archived.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -99,8 +100,9 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             first = 0
             for k, (i, url, source) in enumerate(zip(*(batch.column(c) for c in range(3)))):
-                rows.append((i.as_py(), url.as_py(), source.as_py()))
-                held += len(rows[-1][2] or "") + 200
+                body = source.as_buffer()  # the page's bytes; none for null
+                rows.append((i.as_py(), url.as_py(), None if body is None else body.to_pybytes()))
+                held += (0 if body is None else body.size) + 200
                 if held >= archive_bytes:
                     ids.append(batch.column(0).slice(first, k + 1 - first))
                     first = k + 1
@@ -114,6 +116,30 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return picked.mapInArrow(run, SCHEMA.format(id=kind))
 
 
+def store_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive of write_warc() as a file of its name in the folder, and give (path, records, bytes) of each.
+
+    The folder is a URI of a file system that all executors reach and Arrow knows (file, hdfs, s3, gs). A file is written under a name of its own
+    and then moved to its place, so a task that runs again, or twice at once, leaves whole files alone. Archives without rows give none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            out = []
+            for name, records, content in zip(*(batch.column(c) for c in range(3))):
+                place, staged = f"{base}/{name}", f"{base}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(staged, compression=None) as to:
+                    to.write(content.as_buffer())
+                system.move(staged, place)
+                out.append((place, records.as_py(), content.as_buffer().size))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))], names=["path", "records", "bytes"])
+
+    return archives.select("archive", "records", "content").mapInArrow(run, "path string, records int, bytes long")
+
+
 def dictionary_of(content: bytes) -> zstandard.ZstdCompressionDict:
     """The dictionary that an archive begins with."""
     magic, size = struct.unpack_from("<II", content)

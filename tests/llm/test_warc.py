@@ -1,7 +1,7 @@
 import pytest
 import zstandard
 
-from spanfold.llm.warc import dictionary_of, parse, read_at, read_warc, write_warc
+from spanfold.llm.warc import dictionary_of, parse, read_at, read_warc, store_archives, write_warc
 
 SCHEMA = "page_id long, url string, html string, content string, archive string"
 
@@ -51,3 +51,15 @@ def test_records_are_well_formed(spark):
     assert fields["Content-Length"] == "20" == str(len(body))
     assert fields["WARC-Type"] == "resource"
     assert parse(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n") == ({"Content-Length": "2"}, b"ab")
+
+
+def test_archives_are_written_as_files(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").repartition(3)
+    archives = write_warc(table, archive_bytes=60_000)
+    for _ in range(2):  # what is written again takes the place of what was there
+        stored = store_archives(archives, f"file://{tmp_path}/out").collect()
+        files = sorted((tmp_path / "out").iterdir())
+        assert sorted(r.path for r in stored) == [str(f) for f in files] and len(files) > 1
+    back = read_warc(spark.read.format("binaryFile").load(str(tmp_path / "out")))
+    assert sorted((r.page_id, r.url, r.html) for r in back.collect()) == sorted((str(r.page_id), r.url, r.html) for r in table.collect())
+    assert store_archives(write_warc(pages(spark, [])), f"file://{tmp_path}/none").collect() == []
