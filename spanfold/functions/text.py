@@ -68,12 +68,22 @@ class TextConfig:
     exact = lexemes
 
 
-CONFIGS: dict[str, TextConfig] = {c.name: c for c in (TextConfig("simple"), TextConfig("english", None, english_stem), TextConfig("simple_unaccent", unaccent))}
+CONFIGS: dict[str, TextConfig | Analyzer] = {c.name: c for c in (TextConfig("simple"), TextConfig("english", None, english_stem), TextConfig("simple_unaccent", unaccent))}
 
 
-def register(config: TextConfig) -> None:
-    """Make a configuration known by its name."""
+_registered = 0
+
+
+def register(config: TextConfig | Analyzer) -> None:
+    """Make a configuration, or an analyzer with dictionary words, known by its name."""
+    global _registered
     CONFIGS[config.name] = config
+    _registered += 1
+
+
+def generation() -> int:
+    """A number that changes whenever a configuration is registered."""
+    return _registered
 
 
 # --- analyzers
@@ -217,7 +227,12 @@ def prepared(text: str) -> str:
 
 
 def is_analyzer(name: str) -> bool:
-    return Analyzer.named(name) is not None
+    return isinstance(CONFIGS.get(name), Analyzer) or Analyzer.named(name) is not None
+
+
+def unspaced_runs(text: str) -> list[str]:
+    """Runs of scripts that are written without spaces."""
+    return _RUN.findall(prepared(text))
 
 
 def source(name: str) -> TextConfig | Analyzer:

@@ -17,6 +17,8 @@ from spanfold.plans.resolve import Resolved
 NOTHING = "cast(array() AS array<int>)"
 #: Levels of a tree beyond which Catalyst's recursion is not trusted and the plain evaluator takes over.
 DEEPEST_EXPRESSION = 40
+#: Pairs of positions up to which all are compared, instead of merging the two arrays.
+PAIRWISE = 1_024
 
 
 def literal(text: str) -> str:
@@ -105,11 +107,39 @@ class Sql:
 
     # --- points
 
+    def tagged(self, a: str, b: str) -> str:
+        """Positions of both in one ascending array: twice each position, and one more for those of b, so that at one place a stands first."""
+        x, y = self.fresh(), self.fresh()
+        return f"sort_array(concat(transform({a}, {x} -> 2 * {x}), transform({b}, {y} -> 2 * {y} + 1)))"
+
     def within(self, a: str, b: str, n: int, ordered: bool) -> str:
+        """Whether an x of a and a y of b are that near.
+
+        Short arrays are compared pair by pair until one fits. In longer ones the nearest pair stands side by side in the merged order, so the work grows with their sum.
+        """
+
         def body(a: str, b: str) -> str:
-            x, y = self.fresh(), self.fresh()
+            x, y, m, i = (self.fresh() for _ in range(4))
             test = f"{y} - {x} BETWEEN 0 AND {n}" if ordered else f"abs({x} - {y}) <= {n}"
-            return f"exists({a}, {x} -> exists({b}, {y} -> {test}))"
+            beside = f"{y} % 2 = 1 AND {x} % 2 = 0" if ordered else f"{x} % 2 <> {y} % 2"
+            steps = f"zip_with({m}, slice({m}, 2, size({m})), ({x}, {y}) -> {y} IS NOT NULL AND {beside} AND {y} div 2 - {x} div 2 <= {n})"
+            merged = f"exists(transform(array({self.tagged(a, b)}), {m} -> {steps})[0], {i} -> {i})"
+            return f"if(size({a}) * size({b}) <= {PAIRWISE}, exists({a}, {x} -> exists({b}, {y} -> {test})), {merged})"
+
+        return self.bound([a, b], body)
+
+    def lone(self, a: str, b: str, low: int, high: int) -> str:
+        """Whether an x of a has no y of b in [x + low, x + high].
+
+        One pass over the merged order of x + low and y: the first x after a y is the one that a next y is farthest from.
+        """
+
+        def body(a: str, b: str) -> str:
+            x, y, s, v = (self.fresh() for _ in range(4))
+            both = self.tagged(f"transform({a}, {x} -> {x} + {low})", b)
+            far = f"{v} div 2 - {s}.x > {high - low}"
+            step = f"if({v} % 2 = 1, named_struct('found', {s}.found OR coalesce({far}, false), 'x', cast(null AS int)), named_struct('found', {s}.found, 'x', coalesce({s}.x, cast({v} div 2 AS int))))"
+            return f"aggregate({both}, named_struct('found', false, 'x', cast(null AS int)), ({s}, {v}) -> {step}, {s} -> {s}.found OR {s}.x IS NOT NULL)"
 
         return self.bound([a, b], body)
 
@@ -185,4 +215,10 @@ class Sql:
             return f"NOT ({self.true(node.part)})"
         if isinstance(node, Near):
             return self.within(self.positions(node.a), self.positions(node.b), node.n, node.ordered)
+        if isinstance(node.a, (Leaf, Phrase)) and isinstance(node.b, (Leaf, Phrase)):
+            # both sides have a fixed width, so their last positions tell all
+            wide, other = (sum(x.gaps) if isinstance(x, Phrase) else 0 for x in (node.a, node.b))
+            low, high = (other, other + node.n) if node.ordered else (-wide - node.n, other + node.n)
+            ends = [self.ends(x) if isinstance(x, Phrase) else self.leaf(x) for x in (node.a, node.b)]
+            return self.bound(ends, lambda a, b: f"size({a}) > 0 AND (array_contains({b}, {LAST}) OR {self.lone(a, b, low, high)})")
         return f"size({self.occurrences(node)}) > 0"

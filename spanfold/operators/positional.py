@@ -58,7 +58,7 @@ def pre(a: str, b: str, n: int, tsv: str = "tsv") -> Column:
 def not_within(a: str, b: str, n: int, tsv: str = "tsv") -> Column:
     """Whether some a has no b within n. True for any a where a b is at the last position, whose true place is unknown."""
     sql = Sql(str)
-    made = sql.bound([_one(tsv, a), _one(tsv, b)], lambda a, b: f"size({a}) > 0 AND (size({b}) = 0 OR array_max({b}) = {LAST} OR exists({a}, x -> NOT exists({b}, y -> abs(x - y) <= {n})))")
+    made = sql.bound([_one(tsv, a), _one(tsv, b)], lambda a, b: f"size({a}) > 0 AND (array_contains({b}, {LAST}) OR {sql.lone(a, b, -n, n)})")
     return _checked(tsv, made)
 
 
@@ -68,9 +68,11 @@ def chain(terms: list[str], gaps: list[int], tsv: str = "tsv") -> Column:
         raise ValueError("a chain needs a term and one gap fewer than terms")
     sql = Sql(str)
     reach = _one(tsv, terms[0])
-    for term, gap in zip(terms[1:], gaps):
+    if not gaps:
+        return _checked(tsv, f"size({reach}) > 0")
+    for term, gap in zip(terms[1:-1], gaps[:-1]):
         reach = sql.bound([reach, _one(tsv, term)], lambda r, c, gap=gap: f"filter({c}, x -> exists({r}, y -> abs(x - y) <= {gap}))")
-    return _checked(tsv, f"size({reach}) > 0")
+    return _checked(tsv, sql.within(reach, _one(tsv, terms[-1]), gaps[-1], False))
 
 
 __all__ = ["NOTHING", "all_lexemes", "chain", "length", "literal", "not_within", "positions", "positions_matching", "positions_prefix", "pre", "within"]

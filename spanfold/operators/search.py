@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.functions.text import CONFIGS
+from spanfold.functions.text import CONFIGS, generation
 from spanfold.operators.exprs import DEEPEST_EXPRESSION, Sql, belongs, either, from_map, in_map
 from spanfold.plans import evaluate
 from spanfold.plans.lang import All, Any, Apart, Leaf, Near, Node, Not, Phrase, QueryError, check_regexes, compile_query, deep, height, leaves, walk
@@ -50,11 +50,16 @@ class Compiled:
         return not any(isinstance(n, (Phrase, Near, Apart)) for n in walk(self.tree))
 
 
-@lru_cache(maxsize=256)
 def compiled(query: str, source: str | None = None) -> Compiled:
+    """A query ready to run. What was made under a name that has been registered anew is not used again."""
+    return _compiled(query, source, generation())
+
+
+@lru_cache(maxsize=256)
+def _compiled(query: str, source: str | None, registered: int) -> Compiled:
     tree = compile_query(query)
     check_regexes(tree)
-    resolver = Resolver.of(source)
+    resolver = Resolver.of(source).with_words_of(query)
     found = leaves(tree)
     return Compiled(tree, resolver, tuple(found), {x: resolver.leaf(x) for x in found})
 
@@ -105,14 +110,19 @@ def recheck(query: str | Operand, source: str | None = None, tsv: str = "tsv") -
 match = recheck
 
 
-@lru_cache(maxsize=256)
 def selection(query: str, source: str | None = None) -> Compiled | None:
+    """What an index decides of a query (see _selection)."""
+    return _selection(query, source, generation())
+
+
+@lru_cache(maxsize=256)
+def _selection(query: str, source: str | None, registered: int) -> Compiled | None:
     """What an index decides: presence of lexemes, and phrases of them; none for a query without a key.
 
     A configuration reads every key again, so that a compound becomes the phrase of its parts; an analyzer's keys are taken as
     they are, and its phrases as conjunctions.
     """
-    resolver = Resolver.of(source)
+    resolver = Resolver.of(source).with_words_of(query)
     config = CONFIGS["simple"] if resolver.source is None else resolver.source
 
     def key(leaf: Leaf) -> Node | None:
@@ -184,48 +194,63 @@ def hits(postings: DataFrame, c: Compiled) -> DataFrame:
     return postings.where(F.expr(either([belongs(c.found[x], "lexeme") for x in c.leaves])))
 
 
-def gathered(postings: DataFrame, c: Compiled, id_col: str = "doc_id") -> DataFrame:
-    """One row a document that has a lexeme of the query: l0, l1, ... the positions of each leaf.
+def gathered(postings: DataFrame, c: Compiled, id_col: str = "doc_id", presence: bool | None = None) -> DataFrame:
+    """One row a document that has a lexeme of the query: l0, l1, ... the positions of each leaf, or with presence (the default where positions play
+    no part) flags, for which no positions are read.
 
-    The only exchange of a search, of the matching postings alone. Where positions play no part they are not read, and the columns are flags.
+    Over a stored index, whose buckets hold whole documents, nothing is exchanged; over other postings the matching ones are, once.
     """
     tests = [belongs(c.found[x], "lexeme") for x in c.leaves]
-    if c.only_presence:
-        columns = [F.expr(f"max({t})").alias(f"l{i}") for i, t in enumerate(tests)]
-    else:
-        columns = [F.expr(f"array_sort(array_distinct(flatten(collect_list(CASE WHEN {t} THEN positions END))))").alias(f"l{i}") for i, t in enumerate(tests)]
-    return hits(postings, c).groupBy(id_col).agg(*columns)
+    if c.only_presence if presence is None else presence:
+        return hits(postings, c).groupBy(id_col).agg(*(F.expr(f"max({t})").alias(f"l{i}") for i, t in enumerate(tests)))
+    rows = hits(postings, c).groupBy(id_col).agg(*(F.expr(f"collect_list(CASE WHEN {t} THEN positions END)").alias(f"l{i}") for i, t in enumerate(tests)))
+    # the positions of a single posting are in order already
+    return rows.select(id_col, *(F.expr(f"if(size(l{i}) = 1, l{i}[0], array_sort(array_distinct(flatten(l{i}))))").alias(f"l{i}") for i in range(len(tests))))
+
+
+def needed(node: Node) -> list[list[Leaf]]:
+    """Groups of leaves of which a matching document has at least one each: the skeleton of the query."""
+    if isinstance(node, Leaf):
+        return [[node]]
+    if isinstance(node, Phrase):
+        return [[a] for a in node.atoms]
+    if isinstance(node, Apart):
+        return needed(node.a)
+    if isinstance(node, (Near, All)):
+        return [g for part in ((node.a, node.b) if isinstance(node, Near) else node.parts) for g in needed(part)]
+    if isinstance(node, Any):
+        groups = [needed(part) for part in node.parts]
+        return [] if [] in groups else [[x for g in groups for x in min(g, key=len)]]
+    return []
+
+
+def _matching(postings: DataFrame, c: Compiled, id_col: str, ids: DataFrame | None, presence: bool) -> DataFrame:
+    """Rows of gathered() that match. Those without the leaves that the skeleton asks for go before positions are compared."""
+    rows = gathered(postings, c, id_col, presence)
+    names = {x: f"l{i}" for i, x in enumerate(c.leaves)}
+    if c.true_of_nothing:
+        if ids is None:
+            raise QueryError("this query also holds of documents that have none of its terms; give the table of all ids")
+        nothing = F.lit(False) if presence else F.expr("cast(array() AS array<int>)")
+        rows = ids.select(id_col).distinct().join(rows, id_col, "left").select(id_col, *(F.coalesce(n, nothing).alias(n) for n in names.values()))
+    if c.height > DEEPEST_EXPRESSION:
+        empty = F.expr("cast(array() AS array<int>)")
+        made = [F.when(F.col(n), F.array(F.lit(1))).otherwise(empty) if presence else F.col(n) for n in names.values()]
+        return rows.where(_deep(c)(F.array(*made)))
+    with deep():
+        sql = Sql(names.__getitem__, names.__getitem__ if presence else None)
+        if not presence and not c.only_presence:
+            rows = rows.where(" AND ".join(["true", *("(" + either([f"size({names[x]}) > 0" for x in dict.fromkeys(g)]) + ")" for g in needed(c.tree))]))
+        return rows.where(F.expr(sql.true(c.tree)))
 
 
 def search_postings(postings: DataFrame, query: str | Operand, source: str | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """Ids of the documents that match, from the index.
 
-    A query that holds of documents without any of its lexemes (a negation at the top) needs `ids`, the table of all of them.
+    A query that holds of documents without any of its lexemes (a negation at the top) needs `ids`, those of all documents that have a text.
     """
     c = compiled(*_split(query, source))
-    rows = gathered(postings, c, id_col)
-    if c.true_of_nothing:
-        if ids is None:
-            raise QueryError("this query also holds of documents that have none of its terms; give the table of all ids")
-        rows = ids.select(id_col).distinct().join(rows, id_col, "left")
-    names = {x: f"l{i}" for i, x in enumerate(c.leaves)}
-    if c.only_presence:
-        def flag(leaf: Leaf) -> str:
-            return f"coalesce({names[leaf]}, false)"
-
-        sql = Sql(names.__getitem__, flag)
-    else:
-        for name in names.values():
-            rows = rows.withColumn(name, F.coalesce(name, F.expr("cast(array() AS array<int>)"))) if c.true_of_nothing else rows
-        sql = Sql(names.__getitem__)
-    if c.height > DEEPEST_EXPRESSION:
-        if c.only_presence:
-            made = F.array(*(F.when(F.coalesce(n, F.lit(False)), F.array(F.lit(1))).otherwise(F.expr("cast(array() AS array<int>)")) for n in names.values()))
-        else:
-            made = F.array(*names.values())
-        return rows.where(_deep(c)(made)).select(id_col)
-    with deep():
-        return rows.where(F.expr(sql.true(c.tree))).select(id_col)
+    return _matching(postings, c, id_col, ids, c.only_presence).select(id_col)
 
 
 # --- ranking
@@ -255,18 +280,16 @@ def cover_density(lists: list[list[int]]) -> float:
 
 
 def rank(postings: DataFrame, query: str | Operand, source: str | None = None, k: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, rank) of the matching documents by cover density of the query's terms, the best k if k is given."""
+    """(id, rank) of the matching documents by cover density of the query's terms, the best k if k is given. Postings are gathered once, for both."""
     c = compiled(*_split(query, source))
-    found = search_postings(postings, query, source, id_col=id_col)
 
     @F.arrow_udf("double")
     def density(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
             yield pa.array((cover_density(r) for r in rows.to_pylist()), pa.float64())
 
-    full = Compiled(All(tuple(Phrase((x,), ()) for x in c.leaves)), c.resolver, c.leaves, c.found)
-    lists = gathered(postings, full, id_col)
-    ranked = lists.join(found, id_col).select(id_col, density(F.array(*(f"l{i}" for i in range(len(c.leaves))))).alias("rank"))
+    found = _matching(postings, c, id_col, None, False)
+    ranked = found.select(id_col, density(F.array(*(f"l{i}" for i in range(len(c.leaves))))).alias("rank"))
     return ranked if k is None else ranked.orderBy(F.desc("rank"), id_col).limit(k)
 
 

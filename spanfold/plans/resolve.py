@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from spanfold.functions.text import Analyzer, TextConfig, source
+from pyspark.sql import SparkSession
+
+from spanfold.functions.text import Analyzer, TextConfig, source, unspaced_runs
 from spanfold.plans.lang import Leaf, literal_head
 
 
@@ -17,6 +19,22 @@ class Resolved:
     values: tuple[str, ...]
 
 
+def dictionary_words(run: str) -> tuple[str, ...]:
+    """A run of an unspaced script as the JVM's ICU library cuts it, on the driver, where queries are compiled."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return tuple(run)
+    icu = spark._jvm.com.ibm.icu
+    bounds = icu.text.BreakIterator.getWordInstance(icu.util.ULocale.ROOT)
+    bounds.setText(run)
+    units = run.encode("utf-16-le")
+    out, at = [], bounds.first()
+    while (end := bounds.next()) != -1:
+        out.append(units[2 * at : 2 * end].decode("utf-16-le"))
+        at = end
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Resolver:
     """How terms are looked up; without a source, byte by byte."""
@@ -27,6 +45,13 @@ class Resolver:
     def of(name: str | None) -> Resolver:
         return Resolver(None if name is None else source(name))
 
+    def with_words_of(self, query: str) -> Resolver:
+        """For an analyzer with dictionary words: with those of the query's own runs of unspaced scripts, which the index may not have as runs."""
+        if not self.analyzer or not self.source.words:
+            return self
+        missing = [run for run in unspaced_runs(query) if run not in self.source.words]
+        return Resolver(replace(self.source, words={**self.source.words, **{run: dictionary_words(run) for run in missing}})) if missing else self
+
     @property
     def analyzer(self) -> bool:
         return isinstance(self.source, Analyzer)

@@ -11,26 +11,42 @@ from spanfold.functions.text import PLAIN
 from spanfold.operators import positional
 from spanfold.operators.search import Operand, rank, recheck, search, search_postings, select
 from spanfold.plans.select import query_exact, query_native, query_skeleton
-from spanfold.sources.index import build_postings, plain_tokens, read_postings, unnest, vectors, vocabulary, write_postings
-from spanfold.storage import fresh_path
+from spanfold.sources.index import plain_tokens, read_ids, read_postings, read_vectors, unnest, vectors, vocabulary, write_index, write_vectors
+from spanfold.storage import file_state, fresh_path
 from spanfold.streaming.search import matching
 
 Query = Callable[[SparkSession, str], DataFrame]
-_indexes: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str, str], str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _path(spark: SparkSession, sf_dir: str, kind: str, what: str, write: Callable[..., None]) -> str:
+    """Where something made of all documents is stored: once a session for each state of the documents' files."""
+    docs = documents(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, file_state(docs), kind, what)
+    if key not in _stored:
+        path = fresh_path(spark, what)
+        write(docs, path, kind)
+        _stored[key] = path
+    return _stored[key]
+
+
 def index(spark: SparkSession, sf_dir: str, kind: str = "simple") -> DataFrame:
-    """The stored index of all documents, built once a session for each path."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _indexes:
-        path = fresh_path(spark, "index")
-        write_postings(build_postings(documents(spark, sf_dir), kind), path)
-        _indexes[key] = path
-    return read_postings(spark, _indexes[key])
+    """The stored index of all documents."""
+    return read_postings(spark, _path(spark, sf_dir, kind, "index", write_index))
+
+
+def index_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that the index holds."""
+    return read_ids(spark, _path(spark, sf_dir, "simple", "index", write_index))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str, kind: str = "simple") -> DataFrame:
+    """The stored vectors of all documents."""
+    return read_vectors(spark, _path(spark, sf_dir, kind, "vectors", write_vectors))
 
 
 def shown(positions: str = "positions"):
@@ -66,7 +82,7 @@ DSL: dict[str, tuple[str, str]] = {
     "op_literal": ("'2.0'", sql("SELECT DISTINCT doc_id FROM p WHERE lexeme = '2.0'")),
     "op_and": ("the & license", sql("SELECT doc_id FROM p WHERE lexeme = 'the' INTERSECT SELECT doc_id FROM p WHERE lexeme = 'license'")),
     "op_or": ("license | example", sql("SELECT DISTINCT doc_id FROM p WHERE lexeme IN ('license', 'example')")),
-    "op_not": ("!the", sql("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM p WHERE lexeme = 'the'")),
+    "op_not": ("!the", sql("SELECT doc_id FROM documents WHERE text IS NOT NULL EXCEPT SELECT doc_id FROM p WHERE lexeme = 'the'")),
     "op_andnot": ("license & !(apache | mit)", sql("SELECT doc_id FROM p WHERE lexeme = 'license' EXCEPT SELECT doc_id FROM p WHERE lexeme IN ('apache', 'mit')")),
     "op_prefix": ("licen*", sql("SELECT DISTINCT doc_id FROM p WHERE starts_with(lexeme, 'licen')")),
     "op_suffix": ("*cense", sql("SELECT DISTINCT doc_id FROM p WHERE lexeme LIKE '%cense'")),
@@ -105,25 +121,26 @@ WHERE NOT EXISTS (SELECT 1 FROM p z WHERE z.doc_id = s.doc_id AND z.lexeme = 'an
 
 def indexed(text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search_postings(index(spark, sf_dir), text, ids=documents(spark, sf_dir))
+        return search_postings(index(spark, sf_dir), text, ids=index_ids(spark, sf_dir))
 
     return run
 
 
 def over_vectors(make) -> Query:
-    """(doc_id, matched) of a predicate on every document's vector."""
+    """(doc_id, matched) of a predicate on every document's stored vector."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vectors(documents(spark, sf_dir)).select("doc_id", make().alias("matched"))
+        return stored_vectors(spark, sf_dir).select("doc_id", make().alias("matched"))
 
     return run
 
 
-def filtered(make) -> Query:
-    """Documents whose vector, built while the query runs, satisfies a predicate."""
+def filtered(make, stored: bool = True) -> Query:
+    """Documents whose vector, stored or built while the query runs, satisfies a predicate."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vectors(documents(spark, sf_dir)).where(make()).select("doc_id")
+        held = stored_vectors(spark, sf_dir) if stored else vectors(documents(spark, sf_dir))
+        return held.where(make()).select("doc_id")
 
     return run
 
@@ -146,7 +163,7 @@ def tok_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unnest_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unnest(vectors(documents(spark, sf_dir))).select("doc_id", "lexeme", shown())
+    return unnest(stored_vectors(spark, sf_dir)).select("doc_id", "lexeme", shown())
 
 
 def gin_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +175,7 @@ def gin_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def len_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(documents(spark, sf_dir)).select("doc_id", positional.length().alias("lexemes"))
+    return stored_vectors(spark, sf_dir).select("doc_id", positional.length().alias("lexemes"))
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +184,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positions_of(make) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vectors(documents(spark, sf_dir)).select("doc_id", make().alias("positions")).where("size(positions) > 0").select("doc_id", shown())
+        return stored_vectors(spark, sf_dir).select("doc_id", make().alias("positions")).where("size(positions) > 0").select("doc_id", shown())
 
     return run
 
@@ -176,11 +193,12 @@ def positions_sql(condition: str) -> str:
     return sql(f"SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM (SELECT DISTINCT doc_id, pos FROM p WHERE {condition}) GROUP BY doc_id")
 
 
-def src_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors kept as a table, then searched."""
-    path = fresh_path(spark, "vectors")
-    vectors(documents(spark, sf_dir)).write.parquet(path)
-    return spark.read.parquet(path).where(recheck(DSL["op_within"][0])).select("doc_id")
+def src_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are kept up as rows come: those of half of the documents are stored, those of the others appended, then all are searched."""
+    docs, path = documents(spark, sf_dir), fresh_path(spark, "generated")
+    write_vectors(docs.where("doc_id % 2 = 0"), path)
+    write_vectors(docs.where("doc_id % 2 <> 0 OR doc_id IS NULL"), path, mode="append")
+    return read_vectors(spark, path).where(recheck(DSL["op_pre"][0])).select("doc_id")
 
 
 def src_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +235,7 @@ def top_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(documents(spark, sf_dir)).where(select("the <~3> of & licen*")).select("doc_id")
+    return stored_vectors(spark, sf_dir).where(select("the <~3> of & licen*")).select("doc_id")
 
 
 def eq_vocab_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,12 +250,32 @@ def eq_companion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_postings(index(spark, sf_dir), "the & *cense")
 
 
+def occurrences(spark: SparkSession, sf_dir: str, lexeme: str) -> DataFrame:
+    """(doc_id, pos) of a lexeme, a row for each occurrence."""
+    return index(spark, sf_dir).where(F.col("lexeme") == lexeme).select("doc_id", F.explode("positions").alias("pos"))
+
+
+def eq_notwithin_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-within as an anti join of occurrences: those of one word without one of the other in a range of positions."""
+    x, y = occurrences(spark, sf_dir, "the").alias("x"), occurrences(spark, sf_dir, "of").alias("y")
+    lone = x.join(y, F.expr("x.doc_id = y.doc_id AND y.pos BETWEEN x.pos - 20 AND x.pos + 20"), "left_anti").select("doc_id")
+    untold = x.join(y.where("pos = 16383"), "doc_id", "left_semi").select("doc_id")
+    return lone.unionAll(untold).distinct()
+
+
+PARITY = ["op_term", "op_andnot", "op_prefix", "op_phrase", "op_exact", "op_within", "op_notpre", "op_chain_dsl", "op_compound", "op_group_notwithin"]
+
+
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents on which the index and the scan disagree: none."""
-    text = DSL["op_chain_dsl"][0]
-    a = search_postings(index(spark, sf_dir), text)
-    b = vectors(documents(spark, sf_dir)).where(recheck(text)).select("doc_id")
-    return a.exceptAll(b).unionAll(b.exceptAll(a))
+    """Of several queries: how many documents match over the index, and on how many index and vectors disagree (EXCEPT ALL both ways)."""
+    made = None
+    for name in PARITY:
+        a = search_postings(index(spark, sf_dir), DSL[name][0])
+        b = stored_vectors(spark, sf_dir).where(recheck(DSL[name][0])).select("doc_id")
+        both = a.exceptAll(b).unionAll(b.exceptAll(a)).select(F.lit(0).alias("m"), F.lit(1).alias("d")).unionAll(a.select(F.lit(1).alias("m"), F.lit(0).alias("d")))
+        row = both.agg(F.lit(name).alias("query"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("matches"), F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("disagreements"))
+        made = row if made is None else made.unionAll(row)
+    return made
 
 
 def by_source(operand: Operand) -> Query:
@@ -283,9 +321,9 @@ QUERIES: dict[str, Query] = {name: indexed(text) for name, (text, _) in DSL.item
     "search": filtered(lambda: search("the <~3> of")),
     "search_exact": filtered(lambda: search('"of the" & licen*')),
     "op_match": filtered(lambda: recheck("*cense")),
-    "src_stored": src_stored,
-    "src_onthefly": filtered(lambda: recheck(DSL["op_within"][0])),
-    "src_generated": filtered(lambda: recheck(DSL["op_pre"][0])),
+    "src_stored": filtered(lambda: recheck(DSL["op_within"][0])),
+    "src_onthefly": filtered(lambda: recheck(DSL["op_within"][0]), stored=False),
+    "src_generated": src_generated,
     "src_functional": src_functional,
     "stream_match": stream_match,
     "skel_match": skel_match,
@@ -294,7 +332,7 @@ QUERIES: dict[str, Query] = {name: indexed(text) for name, (text, _) in DSL.item
     "rank_top": top_ranked,
     "eq_within_enum": indexed(" | ".join(f"(the <{k}> of) | (of <{k}> the)" for k in range(4))),
     "eq_pre_enum": indexed(" | ".join(f"(the <{k}> of)" for k in range(4))),
-    "eq_notwithin_exists": indexed(DSL["op_notwithin"][0]),
+    "eq_notwithin_exists": eq_notwithin_exists,
     "eq_vocab_or": eq_vocab_or,
     "eq_companion": eq_companion,
     "index_scan_parity": parity,
@@ -336,7 +374,7 @@ ORACLE_SQL: dict[str, str] = {name: statement for name, (_, statement) in DSL.it
     "eq_notwithin_exists": DSL["op_notwithin"][1],
     "eq_vocab_or": DSL["op_suffix"][1],
     "eq_companion": sql("SELECT doc_id FROM p WHERE lexeme = 'the' INTERSECT SELECT doc_id FROM p WHERE lexeme LIKE '%cense'"),
-    "index_scan_parity": "SELECT doc_id FROM documents WHERE false",
+    "index_scan_parity": " UNION ALL ".join(f"SELECT '{name}' AS query, (SELECT count(*) FROM ({DSL[name][1]})) AS matches, CAST(0 AS BIGINT) AS disagreements" for name in PARITY),
     "query_texts": """SELECT * FROM (VALUES
   ('a <~1> b', '(''a'' & ''b'')', '(''a'' <0> ''b'' | ''b'' <0> ''a'' | ''a'' <1> ''b'' | ''b'' <1> ''a'')', NULL),
   ('"quick fox" & !slow', '(''quick'' <-> ''fox'')', NULL, NULL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanfold.functions.text import LAST_POSITION, LONGEST, MOST_POSITIONS, PLAIN, Analyzer, TextConfig, source
-from spanfold.storage import remove, written
+from spanfold.plans.resolve import dictionary_words
+from spanfold.storage import exists
 
 VECTOR = "map<string,array<int>>"
 _ENTRIES = "array<struct<lexeme:string,positions:array<int>>>"
@@ -100,20 +103,90 @@ def build_postings(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple"
     return made.select(id_col, F.inline("entries"))
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite", id_col: str = "doc_id") -> None:
-    """Store an index sorted by lexeme, so that a query's conditions skip files and row groups.
+# --- the stored index
 
-    Ranges are of (lexeme, id): a lexeme that is in most documents is spread over as many files as it needs. The postings are
-    staged in the shared folder first, as choosing ranges would otherwise read every text once more.
+#: Bytes of text for which an index gets another bucket.
+BUCKET_BYTES = 256 << 20
+
+
+def _buckets(docs: DataFrame, buckets: int | None) -> int:
+    """How many buckets an index of these texts gets: one a shuffle partition, and one for BUCKET_BYTES of input at least."""
+    if buckets:
+        return buckets
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # a table that is no file has the largest number for its size
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // BUCKET_BYTES), 100_000))
+
+
+def _write_bucketed(df: DataFrame, path: str, id_col: str, buckets: int, sort: list[str]) -> None:
+    """df, which is exchanged by id into so many buckets already, as files of one bucket each."""
+    name = _table_name(path)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    write = df.write.format("parquet").mode("overwrite").option("compression", "zstd").option("parquet.bloom.filter.enabled#lexeme", "true" if "lexeme" in sort else "false")
+    write.bucketBy(buckets, id_col).sortBy(*sort).option("path", path).saveAsTable(name)
+
+
+def _table_name(path: str) -> str:
+    return "spanfold_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def _read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """Files of buckets as a table that Spark knows to be bucketed: grouping and joining by id need no exchange."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        about = json.loads(spark.read.text(f"{path}.json", wholetext=True).first()[0])
+        spark.sql(f"CREATE TABLE {name} ({about['columns']}) USING parquet CLUSTERED BY (`{about['id']}`) SORTED BY ({', '.join(about['sort'])}) INTO {about['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _describe(spark: SparkSession, path: str, df: DataFrame, id_col: str, buckets: int, sort: list[str]) -> None:
+    """What _read_bucketed() needs in another session, beside the files."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    text = json.dumps({"columns": columns, "id": id_col, "buckets": buckets, "sort": sort})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.json")
+
+
+def _store(df: DataFrame, path: str, id_col: str, buckets: int, sort: list[str]) -> None:
+    _write_bucketed(df.sortWithinPartitions(*sort), path, id_col, buckets, sort)
+    _describe(df.sparkSession, path, df, id_col, buckets, sort)
+
+
+def write_index(docs: DataFrame, path: str, kind: str | TextConfig | Analyzer = "simple", buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Store the index of texts in folders of path: postings, and the ids of all documents that have a text.
+
+    Texts, which are smaller than their postings, are exchanged once, by document. Each bucket then holds all postings of its documents, sorted by lexeme,
+    so a query's conditions skip row groups and pages of each bucket and no posting is ever exchanged again, not even one of a word that most documents have.
     """
-    staged = written(postings, "staged")
-    parts = [partitions] if partitions else []
-    ranged = staged.repartitionByRange(*parts, "lexeme", id_col).sortWithinPartitions("lexeme", id_col)
-    ranged.write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.enabled#lexeme", "true").parquet(path)
-    remove(staged)
+    n = _buckets(docs, buckets)
+    sent = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).repartition(n, F.col(id_col))
+    _store(build_postings(sent, kind, id_col, text_col), f"{path}/postings", id_col, n, ["lexeme", id_col])
+    _store(docs.where(F.col(text_col).isNotNull()).select(id_col).repartition(n, F.col(id_col)), f"{path}/ids", id_col, n, [id_col])
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int | None = None, id_col: str = "doc_id") -> None:
+    """Store postings that come from elsewhere as an index; they are exchanged once, by document. Documents without a posting are not known to it."""
+    n = buckets or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _store(postings.select(id_col, "lexeme", "positions").repartition(n, F.col(id_col)), f"{path}/postings", id_col, n, ["lexeme", id_col])
+    _store(_read_bucketed(postings.sparkSession, f"{path}/postings").select(id_col).distinct(), f"{path}/ids", id_col, n, [id_col])
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """(id, lexeme, positions) of a stored index, or of one that a stream appends to."""
+    return _read_bucketed(spark, f"{path}/postings") if exists(spark, f"{path}/postings.json") else spark.read.parquet(path)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the documents of a stored index."""
+    return _read_bucketed(spark, f"{path}/ids")
+
+
+def write_vectors(docs: DataFrame, path: str, kind: str | TextConfig | Analyzer = "simple", buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", mode: str = "overwrite") -> None:
+    """Store the vectors of texts, (id, tsv), in as many files as an index has buckets; mode append adds those of more texts."""
+    n = _buckets(docs, buckets)
+    vectors(docs.select(id_col, text_col).repartition(n, F.col(id_col)), kind, id_col, text_col).write.mode(mode).option("compression", "zstd").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
@@ -132,16 +205,4 @@ def script_words(spark: SparkSession, docs: DataFrame, text_col: str = "text", m
     found = [r.run for r in runs.limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"more than {most} distinct runs of unspaced scripts")
-    return {run: tuple(_cut(spark, run)) for run in found}
-
-
-def _cut(spark: SparkSession, run: str) -> list[str]:
-    icu = spark._jvm.com.ibm.icu
-    bounds = icu.text.BreakIterator.getWordInstance(icu.util.ULocale.ROOT)
-    bounds.setText(run)
-    units = run.encode("utf-16-le")
-    out, at = [], bounds.first()
-    while (end := bounds.next()) != -1:
-        out.append(units[2 * at : 2 * end].decode("utf-16-le"))
-        at = end
-    return out
+    return {run: dictionary_words(run) for run in found}

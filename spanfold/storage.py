@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -42,5 +43,22 @@ def remove(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
     jvm = df.sparkSession._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _system(df.sparkSession, folder).delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_state(df: DataFrame) -> str:
+    """A mark of the files that df reads, which changes when one of them is written again."""
+    spark = df.sparkSession
+    marks = []
+    for name in sorted(df.inputFiles()):
+        status = _system(spark, name).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(name))
+        marks.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.md5("\n".join(marks).encode()).hexdigest()

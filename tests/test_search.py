@@ -3,14 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanfold.functions.text import source, vector
+from spanfold.functions.text import Analyzer, TextConfig, register, source, vector
 from spanfold.operators import positional
 from spanfold.operators.search import Operand, cover_density, match, rank, recheck, search, search_postings, select
 from spanfold.plans import evaluate
 from spanfold.plans.lang import QueryError, compile_query
 from spanfold.plans.resolve import Resolver
 from spanfold.plans.select import query_exact, query_native
-from spanfold.sources.index import build_postings, read_postings, script_words, to_vector, unnest, vectors, vocabulary, write_postings
+from spanfold.sources.index import _table_name, build_postings, read_ids, read_postings, script_words, to_vector, unnest, vectors, vocabulary, write_index, write_postings
 from spanfold.streaming.search import append_postings, matching
 
 
@@ -179,29 +179,41 @@ def test_configurations_and_analyzers(spark):
 
 def test_a_scan_reads_only_what_the_query_asks_for(spark, tmp_path):
     docs = table(spark, ["the cat of cats", "a dog"] * 5)
-    write_postings(build_postings(docs), str(tmp_path / "ix"))
+    write_index(docs, str(tmp_path / "ix"))
     postings = read_postings(spark, str(tmp_path / "ix"))
 
     def plan(query):
-        df = search_postings(postings, query)
+        df = search_postings(postings, query, ids=read_ids(spark, str(tmp_path / "ix")))
         return df._jdf.queryExecution().executedPlan().toString(), {r.doc_id for r in df.collect()}
 
     shown, found = plan("the <~3> of")
     assert "PushedFilters: [Or(EqualTo(lexeme,of),EqualTo(lexeme,the))" in shown and "Python" not in shown
-    assert shown.count("Exchange") == 1
+    assert "Exchange" not in shown
     assert found == {0, 2, 4, 6, 8}
+    shown, found = plan("!the")
+    assert "Exchange hashpartitioning" not in shown and found == {1, 3, 5, 7, 9}
+    for again in (lambda: write_postings(build_postings(docs), str(tmp_path / "ix2")), lambda: spark.sql("DROP TABLE " + _table_name(str(tmp_path / "ix2") + "/postings"))):
+        again()  # and as another session finds it, which doesn't know the table
+        postings = read_postings(spark, str(tmp_path / "ix2"))
+        shown, found = plan("the <~3> of")
+        assert "Exchange" not in shown and found == {0, 2, 4, 6, 8}
     shown, _ = plan("cat*")
     assert "StringStartsWith(lexeme,cat)" in shown and "positions" not in shown.split("ReadSchema")[1]
     assert vocabulary(postings).where("lexeme = 'cats'").first().asDict() == {"lexeme": "cats", "ndoc": 5, "nentry": 5}
 
 
-def test_negations_need_all_ids(spark):
+def test_negations_need_all_ids(spark, tmp_path):
     docs = table(spark, ["a", "b", None])
     postings = build_postings(docs)
     with pytest.raises(QueryError):
         search_postings(postings, "!a")
-    assert sorted(r.doc_id for r in search_postings(postings, "!a", ids=docs).collect()) == [1, 2]
-    assert sorted(r.doc_id for r in search_postings(postings, "!(a <~1> b)", ids=docs).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in search_postings(postings, "!a", ids=docs.where("text is not null")).collect()) == [1]
+    # as over vectors, a document without a text never matches
+    write_index(docs, str(tmp_path / "ix"))
+    stored, ids = read_postings(spark, str(tmp_path / "ix")), read_ids(spark, str(tmp_path / "ix"))
+    for query, want in (("!a", [1]), ("!(a <~1> b)", [0, 1]), ("!z | a", [0, 1])):
+        assert sorted(r.doc_id for r in search_postings(stored, query, ids=ids).collect()) == want
+        assert sorted(r.doc_id for r in vectors(docs).where(recheck(query)).collect()) == want
 
 
 def test_deep_trees(spark):
@@ -245,3 +257,50 @@ def test_streams(spark, tmp_path):
 def test_dictionary_words_of_unspaced_scripts(spark):
     words = script_words(spark, table(spark, ["说 你好世界", "plain", None]))
     assert words["你好世界"] == ("你好", "世界")
+    # a query finds such words although its own run is none of the texts'
+    register(Analyzer("icu_words", words=words))
+    docs = table(spark, ["说 你好世界", "plain", None])
+    held, postings = vectors(docs, "icu_words"), build_postings(docs, "icu_words")
+    for query, want in (("你好", [0]), ("你好 <-> 世界", [0]), ("世界 <-> 你好", []), ("说 <2> 世界", [0])):
+        assert [r.doc_id for r in held.where(recheck(query, "icu_words")).collect()] == want
+        assert [r.doc_id for r in search_postings(postings, Operand("icu_words", query)).collect()] == want
+
+
+def test_long_lists_of_positions_are_merged(spark):
+    """Short lists are compared pair by pair, long ones merged: both as the plain evaluator says."""
+    rng = random.Random(12)
+    texts = []
+    for n in (5, 40, 120, 300, 900):
+        for share in (0.02, 0.2, 0.5):
+            texts.append(" ".join("a" if rng.random() < share else "b" if rng.random() < share else "x" for _ in range(n)))
+    texts += ["a " * 100 + "x " * 50 + "b " * 100, "b " * 100 + "x " * 50 + "a " * 100, "x " * 16_400 + "b a", "a " + "x " * 16_400 + "b", "a " * 200, "b " * 200]
+    vecs = [vector(source("simple").tokens(t)) for t in texts]
+    held = table(spark, texts).withColumn("tsv", to_vector()).cache()
+    queries = [f"{p} <{op}{n}> {q}" for p, q in (("a", "b"), ("b", "a"), ("a", "a"), ('"a x"', "b"), ("a", '"b x"'), ('"a x"', '"x b"')) for op in ("~", "-", "!~", "!-") for n in (0, 1, 7, 60)]
+    row = held.select("doc_id", *(recheck(q).alias(f"q{k}") for k, q in enumerate(queries))).orderBy("doc_id").collect()
+    for k, q in enumerate(queries):
+        assert [r[f"q{k}"] for r in row] == [plain(q, v) for v in vecs], q
+    for n in (0, 3, 40):
+        got = held.select("doc_id", positional.within("a", "b", n).alias("w"), positional.pre("a", "b", n).alias("p"), positional.not_within("a", "b", n).alias("l"), positional.chain(["a", "b", "x"], [n, n + 1]).alias("c")).orderBy("doc_id").collect()
+        a, b, x = ([v.get(t, []) for v in vecs] for t in "abx")
+        assert [r.w for r in got] == [evaluate.within(p, q, n) for p, q in zip(a, b)]
+        assert [r.p for r in got] == [evaluate.precedes(p, q, n) for p, q in zip(a, b)]
+        assert [r.l for r in got] == [evaluate.not_within(p, q, n) for p, q in zip(a, b)]
+        assert [r.c for r in got] == [evaluate.chain([p, q, z], [n, n + 1]) for p, q, z in zip(a, b, x)]
+
+
+def test_a_name_registered_anew_is_resolved_anew(spark):
+    docs = table(spark, ["red", "RED"])
+    for change, want in ((str.upper, "RED"), (str.title, "Red")):
+        register(TextConfig("changing", change))
+        assert vectors(docs, "changing").where(recheck("red", "changing")).count() == 2
+        assert [r.lexeme for r in build_postings(docs, "changing").select("lexeme").distinct().collect()] == [want]
+
+
+def test_regular_expressions_are_checked_in_the_dialect_that_runs(spark):
+    for query in ("##(?P<n>red)##", "##[[:nothing:]]##", "##(##", "a & ##*##", "##(?<n>a)(?<n>b)##"):
+        with pytest.raises(QueryError):
+            recheck(query)
+    held = vectors(table(spark, ["re_d 12"]))
+    assert held.where(recheck("##[[:word:]]+##")).count() == 1
+    assert held.where(recheck(r"##\m[[:digit:]]{2}\M##")).count() == 1
