@@ -320,7 +320,7 @@ QUERIES: dict[str, Query] = {name: indexed(text) for name, (text, _) in DSL.item
     "recheck": over_vectors(lambda: recheck(DSL["op_compound"][0])),
     "search": filtered(lambda: search("the <~3> of")),
     "search_exact": filtered(lambda: search('"of the" & licen*')),
-    "op_match": filtered(lambda: recheck("*cense")),
+
     "src_stored": filtered(lambda: recheck(DSL["op_within"][0])),
     "src_onthefly": filtered(lambda: recheck(DSL["op_within"][0]), stored=False),
     "src_generated": src_generated,
@@ -337,12 +337,17 @@ QUERIES: dict[str, Query] = {name: indexed(text) for name, (text, _) in DSL.item
     "eq_companion": eq_companion,
     "index_scan_parity": parity,
     "query_texts": query_texts,
-    "search_cfg": by_source(Operand("english", "licensed <~3> licenses")),
-    "search_analyzer": by_source(Operand("icu", "license <~3> apache")),
-    "tok_analyzer": analyzer_vectors,
+    "search_cfg": by_source(Operand("english", "licensed <~3> apaches")),
+    "search_analyzer": by_source(Operand("icu", "LICENSE <~3> apache")),
+    "tok_analyzer_documents": analyzer_vectors,
 }
 
+#: Words of English texts that have the stems of the configuration's query.
+STEMMED = "lexeme IN ('license', 'licensed', 'licenses', 'licensing', 'licens')", "lexeme IN ('apache', 'apaches', 'apach')"
+
 ORACLE_SQL: dict[str, str] = {name: statement for name, (_, statement) in DSL.items()} | {
+    "search_cfg": pair(*STEMMED, "abs(x.pos - y.pos) <= 3"),
+    "search_analyzer": pair("lexeme = 'license'", "lexeme = 'apache'", "abs(x.pos - y.pos) <= 3"),
     "tok_simple": f"WITH {_TOKENS} SELECT doc_id, lexeme, CAST(pos AS INTEGER) AS pos FROM tok",
     "unnest_tsv": sql("SELECT doc_id, lexeme, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY doc_id, lexeme"),
     "gin_index": sql("SELECT doc_id, lexeme, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p WHERE lexeme IN ('the', 'license') GROUP BY doc_id, lexeme"),
@@ -359,7 +364,7 @@ ORACLE_SQL: dict[str, str] = {name: statement for name, (_, statement) in DSL.it
     "recheck": flags(bare(DSL["op_compound"][1])),
     "search": DSL["op_within"][1],
     "search_exact": sql("SELECT DISTINCT x.doc_id FROM p x JOIN p y USING (doc_id) WHERE x.lexeme = 'of' AND y.lexeme = 'the' AND y.pos = x.pos + 1 INTERSECT SELECT doc_id FROM p WHERE starts_with(lexeme, 'licen')"),
-    "op_match": DSL["op_suffix"][1],
+
     "src_stored": DSL["op_within"][1],
     "src_onthefly": DSL["op_within"][1],
     "src_generated": DSL["op_pre"][1],

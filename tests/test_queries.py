@@ -3,15 +3,17 @@
 import duckdb
 import pytest
 
-from spanfold.queries import ORACLE_SQL, QUERIES
+from spanfold import cases, queries, relational
 
+QUERIES = queries.QUERIES | relational.QUERIES | cases.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | relational.ORACLE_SQL | cases.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -35,3 +37,4 @@ def test_the_entry_module():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+    assert len(QUERIES) == len(queries.QUERIES) + len(relational.QUERIES) + len(cases.QUERIES)
