@@ -21,6 +21,18 @@ def with_columns(df: DataFrame, new: dict) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in low), *(v.alias(k) for k, v in new.items()))
 
 
+def spread_out(df: DataFrame, least_rows: int = 1_000) -> DataFrame:
+    """df over all cores, where its few files would leave most of them idle: a row group is read by one task, whatever comes after it.
+
+    Tables of more files than tasks can run at once pass as they are; of others the rows of each partition are counted first, which reads no column.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < tasks:
+        return df
+    counts = [r["count"] for r in df.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()]  # a row a partition, of fewer files than tasks
+    return df.repartition(tasks) if sum(counts) >= least_rows and 2 * len(counts) < tasks else df
+
+
 def list_parts(arr: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets from 0 and flat values of a list array, sliced or not."""
     offsets = arr.offsets.to_numpy().astype(np.int64)
@@ -59,4 +71,4 @@ def tokenize(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return codes, list(vocabulary), ends[offsets]
 
 
-__all__ = ["WORD", "list_parts", "remove", "spread", "tokenize", "with_columns", "written"]
+__all__ = ["WORD", "list_parts", "remove", "spread", "spread_out", "tokenize", "with_columns", "written"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanfold.llm.common import remove, tokenize, written
+from spanfold.llm.common import remove, spread_out, tokenize, written
 
 #: Tokens of a phrase that counts as a leak (a shorter test item counts as a whole).
 PHRASE = 10
@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *lists], names=names)
 
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    stored = written(picked.mapInArrow(run, f"{_POSTINGS}, ids array<{kind}>, starts array<bigint>"), "postings")
+    stored = written(spread_out(picked).mapInArrow(run, f"{_POSTINGS}, ids array<{kind}>, starts array<bigint>"), "postings")
     return stored.where("term is not null").select("segment", "term", "n", "postings"), stored.where("term is null").select("segment", "ids", "starts")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import with_columns
+from spanfold.llm.common import spread_out, with_columns
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:!|\?|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"
@@ -551,5 +551,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "page
         for sources in batches:
             yield pa.array((to_text(s.as_py()) for s in sources), pa.string())
 
-    out = with_columns(pages, {text_col: rendered(F.col(f"`{html_col}`").cast("string"))})
+    out = with_columns(spread_out(pages), {text_col: rendered(F.col(f"`{html_col}`").cast("string"))})
     return out.drop(*(c for c in out.columns if c.lower() == html_col.lower() and c.lower() != text_col.lower()))

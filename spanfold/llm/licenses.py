@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanfold.llm.common import spread_out
+
 #: Name and wording, or wordings, of the notices that are looked for by default.
 NOTICES: dict[str, str | tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
@@ -189,4 +191,4 @@ def scan_licenses(docs: DataFrame, notices: Mapping[str, str | tuple[str, ...]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "notice", "start", "end", "edits", "matched"])
 
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA.format(id=kind))
+    return spread_out(picked).mapInArrow(run, SCHEMA.format(id=kind))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanfold.llm.common import list_parts, remove, spread, written
+from spanfold.llm.common import list_parts, remove, spread, spread_out, written
 
 VOCABULARY = os.environ.get("SPANFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,7 +113,7 @@ def token_table(docs: DataFrame, vocabulary: str, eos: int, id_col: str, text_co
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return written(picked.mapInArrow(run, f"doc_id {kind}, text_hash long, n int, tokens binary"), "tokens")
+    return written(spread_out(picked).mapInArrow(run, f"doc_id {kind}, text_hash long, n int, tokens binary"), "tokens")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, eos: int = EOS, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:

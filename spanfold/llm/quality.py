@@ -9,10 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import with_columns
+from spanfold.llm.common import spread_out, with_columns
 
 #: Documents of each class that training reads at most; the only bound, and it concerns labelled rows alone.
 TRAINING_DOCS = 1_500
@@ -138,6 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, **columns
     return train(good, bad) if good and bad else Model(b"", b"", 0.0, 0.0)
 
 
+def nested(docs: DataFrame) -> Column:
+    """All columns of docs as one struct named row, so that none of them is replaced where others of their names are added."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with quality_score, the calibrated probability of good text, and quality_keep, whether it reaches the threshold.
 
@@ -156,5 +161,5 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
         for texts in batches:
             yield pa.array((None if t is None else score_of(t, known, good, bad) for t in (x.as_py() for x in texts)), pa.float64())
 
-    named = with_columns(docs, {"quality_score": score(F.col(f"`{text_col}`").cast("string"))})
+    named = with_columns(spread_out(docs), {"quality_score": score(F.col(f"`{text_col}`").cast("string"))})
     return with_columns(named, {"quality_keep": F.coalesce(F.col("quality_score") >= threshold, F.lit(False))})

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import remove, tokenize, written
+from spanfold.llm.common import remove, spread_out, tokenize, written
 
 BITS = 256
 WORDS = BITS // 64
@@ -258,7 +258,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, sides: tup
     """near_groups() with text_hash, a hash of the text that tells rows of one id apart."""
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     bare = F.when(F.col("print").isNull() & not_blank("text"), F.col("text"))
-    hashed = with_fingerprint(picked, "text", "print").select("doc_id", F.xxhash64("text").alias("text_hash"), "print", bare.alias("bare"))
+    hashed = with_fingerprint(spread_out(picked), "text", "print").select("doc_id", F.xxhash64("text").alias("text_hash"), "print", bare.alias("bare"))
     rows = written(hashed, "prints")
     prints = written(rows.where("print is not null").select("print").distinct(), "distinct")
     labels = components(near_edges(prints, "print", radius, sides))

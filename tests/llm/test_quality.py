@@ -1,4 +1,7 @@
+import math
+
 import pytest
+import zstandard
 
 from spanfold.llm.quality import THRESHOLD, fit, labelled, score_of, score_quality, train
 from tests.llm import edge
@@ -34,6 +37,28 @@ def test_scores_are_those_of_one_text_at_a_time(spark):
     assert score_quality(edge.table(spark, []), model).collect() == []
 
 
+def test_scores_by_the_definition(spark):
+    """Sizes of blocks under both dictionaries, their normalised difference, its logistic value: written out again."""
+    model = train([f"good words number {i} and more of them, in sentences. " * 6 for i in range(30)], [f"@@{i} ### $$$ buy now!!! &&& " * 8 for i in range(30)])
+    texts = ["good words in sentences", "@@ buy now!!!" * 300, "é" * 5_000, "a", " x ", "and more of them, " * 200 + "$$$ buy" * 50]
+    sizes = []
+    for content in (model.good, model.bad):
+        dictionary = zstandard.ZstdCompressionDict(content)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append([sum(len(packer.compress(t.encode()[k : k + 1024])) for k in range(0, len(t.encode()), 1024)) for t in texts])
+    rows = score_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), model).orderBy("doc_id").collect()
+    for r, g, b in zip(rows, *sizes):
+        n = len(r.text.encode())
+        z = (model.slope * (b - g) / max(b, g) + model.offset) * n / (n + 128)
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+
+
+def test_labelled_texts_are_read_whole(spark):
+    docs = spark.createDataFrame([(1, "a" * 300_000), (2, "b " * 90_000)], "doc_id long, text string")
+    rows = labelled(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).collect()
+    assert sorted(len(r.text) for r in rows) == [180_000, 300_000]
+
+
 def test_what_is_learned_from(spark):
     docs = edge.table(spark)
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (5, 0), (6, 1), (6, 0), (None, 1), (8, None), (99, 0)], "doc_id long, quality int")
