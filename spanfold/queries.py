@@ -25,11 +25,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _path(spark: SparkSession, sf_dir: str, kind: str, what: str, write: Callable[..., None]) -> str:
     """Where something made of all documents is stored: once a session for each state of the documents' files."""
-    docs = documents(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, file_state(docs), kind, what)
+    key = (spark.sparkContext.applicationId, file_state(spark, f"{sf_dir}/documents.parquet"), kind, what)
     if key not in _stored:
         path = fresh_path(spark, what)
-        write(docs, path, kind)
+        write(documents(spark, sf_dir), path, kind)
         _stored[key] = path
     return _stored[key]
 

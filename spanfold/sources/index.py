@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,11 @@ def plain_tokens(text: str) -> Column:
     return F.when(F.contains(F.col(text), F.lit("-")), F.flatten(parts)).otherwise(found)
 
 
-def grouped(lexemes: pa.Array, positions: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
-    """One list a row of its lexemes, each with its ascending positions, within the limits of a vector."""
+Tokens = tuple[pa.Array, np.ndarray, np.ndarray, int]  # lexemes, their positions and rows, and how many rows there are
+
+
+def grouped(lexemes: pa.Array, positions: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """Row, lexeme and ascending positions of each lexeme of each row, in order of rows, within the limits of a vector."""
     fits = pc.less_equal(pc.binary_length(lexemes), LONGEST).to_numpy(zero_copy_only=False)
     if not fits.all():
         lexemes, positions, row = lexemes.filter(pa.array(fits)), positions[fits], row[fits]
@@ -47,39 +50,49 @@ def grouped(lexemes: pa.Array, positions: np.ndarray, row: np.ndarray, rows: int
     kept = nth < MOST_POSITIONS
     sizes = np.minimum(np.diff(np.append(starts, len(r))), MOST_POSITIONS)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(p[kept].astype(np.int32)))
-    entries = pa.StructArray.from_arrays([names.take(pa.array(c[starts])), lists], names=["lexeme", "positions"])
-    per_row = np.bincount(r[starts], minlength=rows)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), entries)
+    return r[starts], names.take(pa.array(c[starts])), lists
 
 
-def _entries(kind: str | TextConfig | Analyzer, text: str) -> Column:
-    """Entries of a vector of a text column, null for a null text."""
+def _as_entries(tokens: Tokens) -> pa.ListArray:
+    """One list a row of its lexemes, each with its positions."""
+    row, lexemes, lists = grouped(*tokens)
+    entries = pa.StructArray.from_arrays([lexemes, lists], names=["lexeme", "positions"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=tokens[3]))]), pa.int32()), entries)
+
+
+def _reader(kind: str | TextConfig | Analyzer, text: str) -> tuple[Column, Callable[[pa.Array], Tokens]]:
+    """What a batch is to bring of a text column, and how it is read."""
     reader = source(kind) if isinstance(kind, str) else kind
+
+    def of_words(tokens: pa.Array) -> Tokens:
+        """Words that the JVM has found, in order."""
+        offsets = tokens.offsets.to_numpy().astype(np.int64)
+        flat = tokens.values.slice(offsets[0], offsets[-1] - offsets[0])
+        counts = np.diff(offsets)
+        row = np.repeat(np.arange(len(counts)), counts)
+        return flat, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], counts) + 1, row, len(counts)
+
+    def of_texts(texts: pa.Array) -> Tokens:
+        found = [reader.tokens(t) if t else [] for t in texts.to_pylist()]
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        flat = [x for f in found for x in f]
+        return pa.array([x for x, _ in flat], pa.string()), np.array([p for _, p in flat], np.int64), row, len(found)
+
     if isinstance(reader, TextConfig) and reader.filter is None and reader.dictionary is None:
+        return F.coalesce(plain_tokens(text), F.array().cast("array<string>")), of_words
+    return F.col(text), of_texts
 
-        @F.arrow_udf(_ENTRIES)
-        def group(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for tokens in batches:
-                offsets = tokens.offsets.to_numpy().astype(np.int64)
-                flat = tokens.values.slice(offsets[0], offsets[-1] - offsets[0])
-                counts = np.diff(offsets)
-                row = np.repeat(np.arange(len(counts)), counts)
-                at = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], counts) + 1
-                yield grouped(flat, at, row, len(counts))
 
-        made = group(F.coalesce(plain_tokens(text), F.array().cast("array<string>")))
-    else:
+def _entries(kind: str | TextConfig | Analyzer, text: str) -> Column:
+    """Entries of a vector of a text column, null for a null text."""
+    brought, read = _reader(kind, text)
 
-        @F.arrow_udf(_ENTRIES)
-        def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                found = [reader.tokens(t) if t else [] for t in texts.to_pylist()]
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                flat = [x for f in found for x in f]
-                yield grouped(pa.array([x for x, _ in flat], pa.string()), np.array([p for _, p in flat], np.int64), row, len(found))
+    @F.arrow_udf(_ENTRIES)
+    def group(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield _as_entries(read(batch))
 
-        made = read(F.col(text))
-    return F.when(F.col(text).isNotNull(), made)
+    return F.when(F.col(text).isNotNull(), group(brought))
 
 
 def to_vector(text: str = "text", kind: str | TextConfig | Analyzer = "simple") -> Column:
@@ -98,9 +111,16 @@ def unnest(vectors: DataFrame, id_col: str = "doc_id", tsv: str = "tsv") -> Data
 
 
 def build_postings(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lexeme, positions) straight from texts: one narrow pass, no exchange."""
-    made = docs.select(F.col(id_col), F.col(text_col).alias("text")).select(id_col, _entries(kind, "text").alias("entries"))
-    return made.select(id_col, F.inline("entries"))
+    """(id, lexeme, positions) straight from texts: one narrow pass, no exchange. Null texts have none."""
+    brought, read = _reader(kind, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, lexemes, lists = grouped(*read(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lexemes, lists], names=[id_col, "lexeme", "positions"])
+
+    made = docs.select(F.col(id_col), F.col(text_col).alias("text")).where("text is not null").select(id_col, brought.alias("brought"))
+    return made.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lexeme string, positions array<int>")
 
 
 # --- the stored index

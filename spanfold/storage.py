@@ -54,11 +54,11 @@ def _system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def file_state(df: DataFrame) -> str:
-    """A mark of the files that df reads, which changes when one of them is written again."""
-    spark = df.sparkSession
-    marks = []
-    for name in sorted(df.inputFiles()):
-        status = _system(spark, name).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(name))
-        marks.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
-    return hashlib.md5("\n".join(marks).encode()).hexdigest()
+def file_state(spark: SparkSession, path: str) -> str:
+    """A mark of a file, or of the files of a folder, which changes when one of them is written again. No job is run for it."""
+    system, marks = _system(spark, path), []
+    found = system.listFiles(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    while found.hasNext():
+        status = found.next()
+        marks.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(marks)).encode()).hexdigest()
