@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanfold.llm import ann, chat, decontaminate, html, licenses, packing, quality, sharding, simhash, warc
 
@@ -37,7 +38,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the rows whose id is divisible by 20, searched among all rows."""
-    return ann.neighbours(table(spark, sf_dir, "embeddings"), asked="vec_id % 20 = 0")
+    found = ann.neighbours(table(spark, sf_dir, "embeddings"), asked="vec_id % 20 = 0")
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+#: op6 has the exact neighbours here: on tables of one cell the search finds them all.
 ORACLE_SQL: dict[str, str] = {
+    "op6_nearest_neighbours": f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT q.vec_id, b.vec_id AS neighbour_id, list_distance(q.e, b.e) AS far FROM v q JOIN v b ON b.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY far, neighbour_id) AS INTEGER) AS rank, neighbour_id, round(far, 6) AS distance
+FROM d QUALIFY rank <= {ann.NEIGHBOURS}""",
     "op2_sharding": f"""
 WITH r AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat('7|', doc_id))) AS rank, count(*) OVER (PARTITION BY source) AS size
