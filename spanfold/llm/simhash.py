@@ -23,6 +23,8 @@ SLICE = 2_048
 TILE, ROWS = 4_096, 16
 #: Sizes between which a cell's side is chosen: an eighth of the fingerprints, so that cells are many but few copies of each are sent.
 SIDES = (4_096, 262_144)
+#: Tasks among which cells are divided, at most.
+TASKS = 20_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEPS = np.arange(WORDS, dtype=np.uint64) * _A
@@ -205,25 +207,40 @@ def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int]
     met = sided.join(ranges, "side").select("print", "side", F.explode(F.sequence("least", "most")).alias("other"))
     g, h = F.least("side", "other").cast("long"), F.greatest("side", "other").cast("long")
     cell = g * n - F.expr("least(side, other) * (cast(least(side, other) AS long) - 1) div 2") + h - g  # places in the upper triangle, row by row
-    parts = max(1, min(n * (n + 1) // 2, 20_000))
+    parts = max(1, min(n * (n + 1) // 2, TASKS))
     sent = met.select(cell.alias("cell"), (F.col("side") <= F.col("other")).alias("first"), (F.col("side") == F.col("other")).alias("alone"), "print")
-    sent = sent.repartitionById(parts, (F.col("cell") % parts).cast("int"))
+    # by cell, so that a task of several cells holds one at a time
+    sent = sent.repartitionById(parts, (F.col("cell") % parts).cast("int")).sortWithinPartitions("cell")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # the fingerprints of one cell, or of few
-        if not held:
-            return
+    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of one cell, whose fingerprints are these."""
         table = pa.Table.from_batches(held)
-        cell, first, alone = (table.column(c).to_numpy() for c in range(3))
-        raw = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)
-        for k in np.unique(cell):
-            a = by_population(raw[(cell == k) & first])
-            b = None if alone[cell == k][0] else by_population(raw[(cell == k) & ~first])
-            u, v = forest(a, b, radius)
-            both = a if b is None else np.concatenate([a, b])
-            for lo in range(0, len(u), 50_000):
-                ends = [pa.array([x.tobytes() for x in both[e[lo : lo + 50_000]]], pa.binary()) for e in (u, v)]
-                yield pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+        first = table.column("first").to_numpy()
+        raw = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, WORDS)
+        a = by_population(raw[first])
+        b = None if table.column("alone")[0].as_py() else by_population(raw[~first])
+        u, v = forest(a, b, radius)
+        both = a if b is None else np.concatenate([a, b])
+        for lo in range(0, len(u), 50_000):
+            ends = [pa.array([x.tobytes() for x in both[e[lo : lo + 50_000]]], pa.binary()) for e in (u, v)]
+            yield pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            edges = np.flatnonzero(np.diff(cells)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(cells)]):
+                if hi == lo:
+                    continue
+                if held and cells[lo] != now:
+                    yield from joined(held)
+                    held = []
+                now = cells[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from joined(held)
 
     return sent.mapInArrow(run, "u binary, v binary")
 

@@ -84,6 +84,15 @@ def test_groups_against_brute_force(spark):
     assert len({(want[i], g) for i, g in truth.items()}) == len(set(truth.values())) == len(set(want.values()))
 
 
+def test_tasks_of_many_cells(spark, monkeypatch):
+    """Cells that share a task are told apart, also where they begin and end within a batch."""
+    rows, _ = corpus(4)
+    df = edge.table(spark, rows)
+    want = sorted((r.doc_id, r.group_id) for r in near_groups(df).collect())
+    monkeypatch.setattr("spanfold.llm.simhash.TASKS", 2)
+    assert sorted((r.doc_id, r.group_id) for r in near_groups(df, sides=(16, 16)).collect()) == want
+
+
 def test_one_of_each_group_stays(spark):
     rows, truth = corpus(2)
     kept = drop_near_duplicates(edge.table(spark, rows)).collect()
