@@ -1,9 +1,11 @@
-"""SimHash near-duplicate groups by exact tiled comparison of all fingerprints."""
+"""SimHash near-duplicate groups: every pair of fingerprints within the radius is found, through the chunks in which it must be close."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import remove, spread_out, tokenize, written
+from spanfold.llm.common import remove, spread, spread_out, tokenize, written
 
 BITS = 256
 WORDS = BITS // 64
@@ -21,10 +23,12 @@ RADIUS = 60
 SLICE = 2_048
 #: Fingerprints of a tile in cache, and rows compared with it at once.
 TILE, ROWS = 4_096, 16
-#: Sizes between which a cell's side is chosen: an eighth of the fingerprints, so that cells are many but few copies of each are sent.
-SIDES = (4_096, 262_144)
-#: Tasks among which cells are divided, at most.
-TASKS = 20_000
+#: Fingerprints of a cell's side: up to the first number all pairs of a cell are looked at, beyond it those that meet in a chunk; no side is larger than the second.
+SIDES = (16_384, 786_432)
+#: Tasks among which cells are divided, at most, and parts of a cell, at most.
+TASKS, PARTS = 20_000, 24
+#: Pairs that are held before they are compared in full.
+HELD = 262_144
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEPS = np.arange(WORDS, dtype=np.uint64) * _A
@@ -161,12 +165,159 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.n
                     yield r + i[near], q + j[near]
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges, as row numbers of a followed by b, that join what the near pairs of a cell join."""
+class Chunk(NamedTuple):
+    """Some successive bits of a fingerprint, and how much two near ones may differ there."""
+
+    start: int
+    width: int
+    most: int  # bits that may differ in the chunk; none begins here if it is negative
+    mask: int  # of the 64 bits from start on, those of whole chunks
+    bound: int  # bits that may differ in these
+
+
+def cut(radius: int, number: int) -> list[Chunk]:
+    """The fingerprint in so many chunks, of which each pair within the radius meets the limits of at least one.
+
+    Chunk i may differ in T[i] bits, and these add up to radius - number + 1. The differences less T[i] + 1 then add up to less than 0, so that going round
+    from behind the last place where their running sum is greatest, every running sum is less than 0: the first l chunks from there differ
+    in at most the sum of their T, and l - 1 more. A chunk with its successors that fit into 64 bits is held against that.
+    """
+    starts = [k * BITS // number for k in range(2 * number + 1)]  # once round and on
+    each, more = divmod(radius - number + 1, number)
+    most = [each + (k < more) for k in range(number)]
+    chunks = []
+    for k in range(number):
+        run = 1
+        while run < number and starts[k + run + 1] - starts[k] <= 64:
+            run += 1
+        bits = starts[k + run] - starts[k]
+        chunks.append(Chunk(starts[k], starts[k + 1] - starts[k], most[k], (1 << 64) - (1 << (64 - bits)), sum(most[i % number] for i in range(k, k + run)) + run - 1))
+    return chunks
+
+
+def best_cut(left: int, right: int, radius: int) -> list[Chunk]:
+    """Chunks, of 16 bits at most, by which so many fingerprints on either side meet in the least time, as estimated for evenly spread ones."""
+
+    def seconds(chunks: list[Chunk]) -> float:
+        total = 0.0
+        for c in chunks:
+            near = sum(comb(c.width, d) for d in range(min(c.most, c.width) + 1))
+            values = min(left, 1 << c.width)
+            total += (near > 0) * values * (5e-5 + 3e-8 * near + near * right / (1 << c.width) * (1e-8 + 2e-9 * left / values))
+        return total
+
+    return min((cut(radius, number) for number in range(BITS // 16, BITS // 8 + 1)), key=seconds)
+
+
+class Sorted:
+    """Fingerprints in order of a chunk's value, and by label where it is equal."""
+
+    def __init__(self, prints: np.ndarray, label: np.ndarray, chunk: Chunk) -> None:
+        word, shift = divmod(chunk.start, 64)
+        bits = prints[:, word]
+        if shift:  # behind the last bit the first follows
+            bits = (bits << np.uint64(shift)) | (prints[:, (word + 1) % WORDS] >> np.uint64(64 - shift))
+        keys = (bits >> np.uint64(64 - chunk.width)).astype(np.uint16)
+        order = np.argsort(label, kind="stable")
+        self.rows = order[np.argsort(keys[order], kind="stable")]
+        self.bits = bits[self.rows] & np.uint64(chunk.mask)
+        self.sizes = np.bincount(keys, minlength=1 << chunk.width)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+def meetings(left: Sorted, right: Sorted, chunk: Chunk, part: int = 0, parts: int = 1) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Places lo to hi on the left that agree in the chunk, and those on the right that differ there in few enough bits.
+
+    Where both are the same, each two values meet once. Of several parts, each has its own values on the left.
+    """
+    flips = np.flatnonzero(np.bitwise_count(np.arange(1 << chunk.width)) <= chunk.most)
+    for key in np.flatnonzero(left.sizes).tolist():
+        if key % parts != part:
+            continue
+        others = key ^ flips
+        if left is right:
+            others = others[others >= key]
+        places = spread(right.starts[others], right.sizes[others])
+        if len(places):
+            yield left.starts[key], left.starts[key] + left.sizes[key], places
+
+
+def close(ours: np.ndarray, theirs: np.ndarray, bound: int, room: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of numbers that differ in at most bound bits. There are few, so they are looked for in columns that have some, eight together."""
+    x, c, h = room
+    for r in range(0, len(ours), 2 * ROWS):
+        left = ours[r : r + 2 * ROWS, None]
+        n = len(left)
+        wide = ROWS * TILE // n // 8 * 8
+        for q in range(0, len(theirs), wide):
+            right = theirs[q : q + wide]
+            m = len(right)
+            eights = -(-m // 8)
+            apart = np.bitwise_xor(left, right, out=x[: n * m].reshape(n, m))
+            counts = np.bitwise_count(apart, out=c[: n * m].reshape(n, m))
+            met = h[: n * eights].reshape(n, eights)
+            met[:, -1] = 0
+            np.less_equal(counts, bound, out=met.view(bool)[:, :m])
+            some = np.flatnonzero(np.bitwise_or.reduce(met, axis=0))
+            if len(some):
+                hit = np.flatnonzero(met.take(some, axis=1).view(bool))
+                i, j = np.divmod(hit, 8 * len(some))
+                yield r + i, q + 8 * some[j // 8] + j % 8
+
+
+def join_met(a: np.ndarray, b: np.ndarray | None, radius: int, label: np.ndarray, part: int, parts: int) -> None:
+    """Join, in label, what the pairs within the radius join that meet in the given part of some chunk's values; over all parts none is left out.
+
+    Fingerprints of a component aren't looked at again where they meet a block that is of that one altogether.
+    """
+    other, shift = (a, 0) if b is None else (b, len(a))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, large = 0, False
+    room = [np.empty(ROWS * TILE, kind) for kind in (np.uint64, np.uint8, np.uint64)]
+
+    def join() -> None:
+        """Compare the pairs held in full and join those within the radius."""
+        nonlocal size, large
+        if held:
+            i, j = (np.concatenate(ends) for ends in zip(*held))
+            new = label[i] != label[j + shift]
+            i, j = i[new], j[new]
+            near = np.bitwise_count(a[i] ^ other[j]).sum(1, dtype=np.int64) <= radius
+            if near.any():
+                fold_labels(label, i[near], j[near] + shift)
+                large = bool(np.bincount(label).max() > ROWS)
+        held.clear()
+        size = 0
+
+    for chunk in best_cut(len(a), len(other), radius):
+        if chunk.most < 0:
+            continue
+        left = Sorted(a, label[: len(a)], chunk)
+        right = left if b is None else Sorted(other, label[shift:], chunk)
+        for lo, hi, places in meetings(left, right, chunk, part, parts):
+            step = ROWS if large else hi - lo
+            for r in range(lo, hi, step):
+                rows, at = left.rows[r : min(r + step, hi)], places
+                of = label[rows]
+                if large and len(of) > 1 and (of == of[0]).all():
+                    at = places[label[right.rows[places] + shift] != of[0]]
+                for i, j in close(left.bits[r : r + len(rows)], right.bits[at], chunk.bound, room):
+                    held.append((rows[i], right.rows[at[j]]))
+                    size += len(i)
+                    if size >= HELD:
+                        join()
+        join()
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, part: int = 0, parts: int = 1, least: int = SIDES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as row numbers of a followed by b, that join what the near pairs of a cell join, or over all parts of it together."""
     size = len(a) + (0 if b is None else len(b))
     label = np.arange(size)
-    for i, j in near_pairs(a, a if b is None else b, radius):
-        fold_labels(label, i, j + (0 if b is None else len(a)))
+    if max(len(a), size - len(a)) > least:
+        join_met(a, b, radius, label, part, parts)
+    elif not part:
+        for i, j in near_pairs(a, a if b is None else b, radius):
+            fold_labels(label, i, j + (0 if b is None else len(a)))
     member = np.flatnonzero(label != np.arange(size))
     return member, label[member]
 
@@ -180,14 +331,14 @@ def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int]
 
     Fingerprints are put in order of population count by arithmetic on the counts of their 257 values and cut
     into G sides. The sides whose population counts allow a pair with one of side g are a range, and each fingerprint goes to
-    the cells (g, h) of its side and that range; the driver holds three numbers a side.
+    the cells (g, h) of its side and that range; the driver holds three numbers a side. Few large cells are worked on in parts, each with all
+    fingerprints of its cell.
     """
     ones = sum(F.bit_count(F.conv(F.hex(F.substring(name, 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(WORDS)).cast("int")
     distinct = prints.select(F.col(name), ones.alias("ones"))
     counted = {r["ones"]: r["count"] for r in distinct.groupBy("ones").count().collect()}  # 257 values at most
     total = sum(counted.values())
-    side = min(sides[1], max(sides[0], -(-total // 8)))
-    n = max(1, -(-total // side))
+    n = max(1, -(-total // sides[1]))
     start, low, high = {}, [BITS] * n, [0] * n
     seen = 0
     for p in sorted(counted):
@@ -207,27 +358,31 @@ def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int]
     met = sided.join(ranges, "side").select("print", "side", F.explode(F.sequence("least", "most")).alias("other"))
     g, h = F.least("side", "other").cast("long"), F.greatest("side", "other").cast("long")
     cell = g * n - F.expr("least(side, other) * (cast(least(side, other) AS long) - 1) div 2") + h - g  # places in the upper triangle, row by row
-    parts = max(1, min(n * (n + 1) // 2, TASKS))
-    sent = met.select(cell.alias("cell"), (F.col("side") <= F.col("other")).alias("first"), (F.col("side") == F.col("other")).alias("alone"), "print")
-    # by cell, so that a task of several cells holds one at a time
-    sent = sent.repartitionById(parts, (F.col("cell") % parts).cast("int")).sortWithinPartitions("cell")
-
-    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges of one cell, whose fingerprints are these."""
-        table = pa.Table.from_batches(held)
-        first = table.column("first").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, WORDS)
-        a = by_population(raw[first])
-        b = None if table.column("alone")[0].as_py() else by_population(raw[~first])
-        u, v = forest(a, b, radius)
+    cells = n * (n + 1) // 2
+    parts = 1 if total <= n * sides[0] else max(1, min(PARTS, -(-4 * prints.sparkSession.sparkContext.defaultParallelism // cells)))
+    tasks = max(1, min(cells * parts, TASKS))
+    sent = met.select((cell * parts).alias("cell"), (F.col("side") <= F.col("other")).alias("first"), (F.col("side") == F.col("other")).alias("alone"), "print")
+    if parts > 1:
+        sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).select((F.col("cell") + F.col("part")).alias("cell"), "first", "alone", "print")
+    # by part of a cell, so that a task of several holds one at a time
+    sent = sent.repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell")
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray]], alone: bool, part: int) -> Iterator[pa.RecordBatch]:
+        """Edges of a part of a cell, whose fingerprints are these, with whether they are of the first side; the list is emptied."""
+        a, b = (np.concatenate([numbers[first == ours] for first, numbers in held]) for ours in (True, False))
+        held.clear()
+        if max(len(a), len(b)) <= sides[0]:
+            a, b = by_population(a), by_population(b)
+        b = None if alone else b
+        u, v = forest(a, b, radius, part, parts, sides[0])
         both = a if b is None else np.concatenate([a, b])
         for lo in range(0, len(u), 50_000):
             ends = [pa.array([x.tobytes() for x in both[e[lo : lo + 50_000]]], pa.binary()) for e in (u, v)]
             yield pa.RecordBatch.from_arrays(ends, names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, alone = None, False
         for batch in batches:
             cells = batch.column("cell").to_numpy()
             edges = np.flatnonzero(np.diff(cells)) + 1
@@ -235,12 +390,12 @@ def near_edges(prints: DataFrame, name: str, radius: int, sides: tuple[int, int]
                 if hi == lo:
                     continue
                 if held and cells[lo] != now:
-                    yield from joined(held)
-                    held = []
-                now = cells[lo]
-                held.append(batch.slice(lo, hi - lo))
+                    yield from joined(held, alone, now % parts)
+                now, alone = cells[lo], batch.column("alone")[lo].as_py()
+                raw = b"".join(batch.column("print").slice(lo, hi - lo).to_pylist())
+                held.append((batch.column("first").to_numpy(zero_copy_only=False)[lo:hi], np.frombuffer(raw, np.uint64).reshape(-1, WORDS)))
         if held:
-            yield from joined(held)
+            yield from joined(held, alone, now % parts)
 
     return sent.mapInArrow(run, "u binary, v binary")
 
@@ -300,9 +455,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text's fingerprint has 256 bits: the signs of the sums of hashed word pairs. Texts are near duplicates
     if their fingerprints differ in at most `radius` bits, and groups are the components of that relation.
-    Equal fingerprints are merged before anything is compared, then all pairs are compared exactly, in
-    tiles, with numpy exclusive-or and bit counts; only tile pairs whose population counts exclude a match are
-    skipped. No partner or candidate is dropped.
+    Equal fingerprints are merged before anything is compared. Then those that differ in few bits of a chunk are looked at, for
+    limits that every pair within the radius meets in some chunk (see cut()), and are compared exactly with numpy exclusive-or and bit
+    counts; up to sides[0] fingerprints all pairs are. No partner or candidate is dropped.
 
     keep is true for one row of each group: the least id, null ids last, and among rows of that id the least hash of the text; for rows that
     agree in both it is true for all of them, and drop_near_duplicates leaves one. Texts without a word have no

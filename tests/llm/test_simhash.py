@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanfold.llm.simhash import RADIUS, WORDS, by_population, components, drop_near_duplicates, fingerprints, forest, near_groups, near_pairs
+from spanfold.llm.simhash import RADIUS, WORDS, Sorted, best_cut, by_population, components, cut, drop_near_duplicates, fingerprints, forest, meetings, near_groups, near_pairs
 from tests.llm import edge
 
 
@@ -159,3 +159,81 @@ def test_equal_texts_without_a_word(spark):
     assert groups == [("2", 2, 2), ("3", 3, 5), ("3", 3, 5), ("5", 3, 5), ("6", 2, 2), ("9", 3, 5), ("None", 3, 5)]
     kept = [r.doc_id for r in drop_near_duplicates(df).collect()]
     assert sorted(kept) == [1, 2, 3, 7, 8, 8, 10, 11]
+
+
+def noisy(rng, count, copies, flips):
+    """Distinct fingerprints, the last of them copies of the first with up to so many bits changed."""
+    base = rng.integers(0, 2**64, (count, WORDS), dtype=np.uint64)
+    made = base[:copies].copy()
+    for _ in range(flips):
+        made[np.arange(copies), rng.integers(0, WORDS, copies)] ^= np.uint64(1) << rng.integers(0, 64, copies).astype(np.uint64)
+    return np.unique(np.concatenate([base, made]), axis=0)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 20, RADIUS, 90])
+def test_chunks_find_what_brute_force_finds(radius):
+    """Within one table and between two, whole and in parts; also pairs that differ in exactly the radius, wherever."""
+    rng = np.random.default_rng(radius)
+    prints = noisy(rng, 500, 200, radius + radius // 4)
+    exact = prints[:200].copy()
+    for i in range(200):
+        bits = np.zeros(256, bool)
+        bits[(np.arange(radius + i % 2) * (1 + i % 4) + i) % 256 if i % 3 else rng.permutation(256)[: radius + i % 2]] = True
+        exact[i] ^= np.packbits(bits).view(np.uint64)
+    prints = np.unique(np.concatenate([prints, exact]), axis=0)
+    want = brute(prints, radius)
+    edges = [(int(u), int(v)) for part in range(3) for u, v in zip(*forest(prints, None, radius, part, 3, 0))]
+    assert groups_of(edges, range(len(prints))) == want
+    third = len(prints) // 3
+    a, b = prints[:third], prints[third:]
+    edges = [(int(u), int(v)) for u, v in zip(*forest(a, None, radius, least=0))] + [(int(u) + third, int(v) + third) for u, v in zip(*forest(b, None, radius, least=0))]
+    edges += [(int(u), int(v)) for part in range(2) for u, v in zip(*forest(a, b, radius, part, 2, 0))]
+    assert groups_of(edges, range(len(prints))) == want
+
+
+def test_every_pair_within_the_radius_meets_a_chunk_and_its_bound():
+    rng = np.random.default_rng(11)
+    for number in (16, 17, 18, 20, 25, 32):
+        for radius in (0, 7, RADIUS):
+            chunks = cut(radius, number)
+            assert sum(c.width for c in chunks) == 256 and sum(c.most for c in chunks) == radius - number + 1
+            for i in range(300):
+                gap = np.zeros(256, int)
+                gap[rng.permutation(256)[:radius] if i % 2 else (rng.integers(256) + np.arange(radius) * (1 + i % 9)) % 256] = 1
+                round_twice = np.concatenate([gap, gap])
+                covered = [bin(c.mask).count("1") for c in chunks]
+                assert any(gap[c.start : c.start + c.width].sum() <= c.most and round_twice[c.start : c.start + n].sum() <= c.bound for c, n in zip(chunks, covered))
+
+
+def test_few_pairs_are_looked_at():
+    """Of the pairs of a table of the size where all were compared before, less than a third meet in a chunk; of a full side less than a sixth do."""
+    rng = np.random.default_rng(12)
+    prints = rng.integers(0, 2**64, (235_000, WORDS), dtype=np.uint64)
+    for count, share in ((235_000, 1 / 3), (786_432, 1 / 6)):
+        looked = 0.0
+        for chunk in best_cut(count, count, RADIUS):
+            left, right = (Sorted(prints, np.arange(len(prints)), chunk) for _ in range(2))
+            looked += 64 * sum((hi - lo) * len(places) for lo, hi, places in meetings(left, right, chunk, 5, 64))
+        assert looked < share * len(prints) ** 2
+
+
+def test_chunks_join_large_components():
+    """Many fingerprints near one another, so that whole blocks are of one component."""
+    rng = np.random.default_rng(13)
+    centre = rng.integers(0, 2**64, (1, WORDS), dtype=np.uint64)
+    crowd = np.repeat(centre, 2_000, axis=0)
+    for _ in range(20):
+        crowd[np.arange(2_000), rng.integers(0, WORDS, 2_000)] ^= np.uint64(1) << rng.integers(0, 64, 2_000).astype(np.uint64)
+    prints = np.concatenate([crowd, noisy(rng, 2_000, 600, 40)])
+    want = groups_of(zip(*(e.tolist() for e in forest(by_population(prints), None, RADIUS, least=len(prints)))), range(len(prints)))
+    got = groups_of(zip(*(e.tolist() for e in forest(by_population(prints), None, RADIUS, least=0))), range(len(prints)))
+    assert got == want
+
+
+def test_groups_do_not_depend_on_the_sides(spark):
+    """Small sides by chunks, in parts and over several cells, against all pairs."""
+    rows, _ = corpus(7)
+    df = edge.table(spark, rows)
+    want = sorted((r.doc_id, r.group_id) for r in near_groups(df).collect())
+    for sides in ((0, 786_432), (0, 40)):
+        assert sorted((r.doc_id, r.group_id) for r in near_groups(df, sides=sides).collect()) == want
