@@ -11,7 +11,7 @@ from spanfold.functions.text import PLAIN
 from spanfold.operators import positional
 from spanfold.operators.search import Operand, rank, recheck, search, search_postings, select
 from spanfold.plans.select import query_exact, query_native, query_skeleton
-from spanfold.sources.index import plain_tokens, read_ids, read_postings, read_vectors, unnest, vectors, vocabulary, write_index, write_vectors
+from spanfold.sources.index import build_postings, plain_tokens, read_ids, read_postings, read_vectors, unnest, vectors, vocabulary, write_index, write_vectors
 from spanfold.storage import file_state, fresh_path
 from spanfold.streaming.search import matching
 
@@ -285,7 +285,7 @@ def by_source(operand: Operand) -> Query:
 
 
 def analyzer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unnest(vectors(documents(spark, sf_dir), "icu")).select("doc_id", "lexeme", shown())
+    return build_postings(documents(spark, sf_dir), "icu").select("doc_id", "lexeme", shown())
 
 
 TEXTS = ["a <~1> b", '"quick fox" & !slow', "appl* <-> pie", "(a | b) <2> c", "x <!~3> y", "te?t & (p | q)"]

@@ -29,28 +29,46 @@ def plain_tokens(text: str) -> Column:
 
 Tokens = tuple[pa.Array, np.ndarray, np.ndarray, int]  # lexemes, their positions and rows, and how many rows there are
 
+#: Bytes of texts that are read at a time: Spark's batches have as many rows however long these are, and tokens take a hundred times their letters' room.
+SLICE_BYTES = 1 << 20
+#: Different stretches of text whose tokens are remembered, and the longest of them.
+MOST_KNOWN, LONGEST_KNOWN = 50_000, 64
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of ranges of whole rows, each of about that size; none has more than one row beyond it."""
+    at = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(np.append(starts, len(sizes))).tolist())
+
+
+def _sizes(brought: pa.Array) -> np.ndarray:
+    """Bytes of each row's text or words."""
+    if pa.types.is_list(brought.type):
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(brought.values).to_numpy(zero_copy_only=False))])
+        return np.diff(ends[brought.offsets.to_numpy()])
+    return pc.fill_null(pc.binary_length(brought), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
 def grouped(lexemes: pa.Array, positions: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
     """Row, lexeme and ascending positions of each lexeme of each row, in order of rows, within the limits of a vector."""
-    fits = pc.less_equal(pc.binary_length(lexemes), LONGEST).to_numpy(zero_copy_only=False)
-    if not fits.all():
-        lexemes, positions, row = lexemes.filter(pa.array(fits)), positions[fits], row[fits]
-    coded = lexemes.dictionary_encode()
+    coded = lexemes if isinstance(lexemes, pa.DictionaryArray) else lexemes.dictionary_encode()
     code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    positions = np.minimum(positions, LAST_POSITION)
-    order = np.lexsort((positions, code, row))
-    r, c, p = row[order], code[order], positions[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-    first = np.ones(len(r), bool)
-    first[1:] = new[1:] | (p[1:] != p[:-1])
-    r, c, p, new = r[first], c[first], p[first], new[first]
-    starts = np.flatnonzero(new)
-    nth = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
-    kept = nth < MOST_POSITIONS
-    sizes = np.minimum(np.diff(np.append(starts, len(r))), MOST_POSITIONS)
+    fits = pc.less_equal(pc.binary_length(names), LONGEST).to_numpy(zero_copy_only=False)
+    if not fits.all():
+        kept = fits[code]
+        code, positions, row = code[kept], positions[kept], row[kept]
+    # one number for row, lexeme and position: sorted once, without repetitions
+    places = LAST_POSITION + 1
+    keys = np.sort((row * len(names) + code) * places + np.minimum(positions, LAST_POSITION))
+    owner, p = np.divmod(keys[np.diff(keys, prepend=-1) != 0], places)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    r, c = np.divmod(owner[starts], max(1, len(names)))
+    sizes = np.diff(np.append(starts, len(owner)))
+    kept = np.arange(len(owner)) - np.repeat(starts, sizes) < MOST_POSITIONS
+    sizes = np.minimum(sizes, MOST_POSITIONS)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(p[kept].astype(np.int32)))
-    return r[starts], names.take(pa.array(c[starts])), lists
+    return r, names.take(pa.array(c)), lists
 
 
 def _as_entries(tokens: Tokens) -> pa.ListArray:
@@ -72,6 +90,39 @@ def _reader(kind: str | TextConfig | Analyzer, text: str) -> tuple[Column, Calla
         row = np.repeat(np.arange(len(counts)), counts)
         return flat, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], counts) + 1, row, len(counts)
 
+    known: dict[str, tuple[list[tuple[str, int]], int]] = {}
+
+    def cut(stretch: str) -> tuple[list[tuple[str, int]], int]:
+        found = known.get(stretch)
+        if found is None:
+            found = reader.cut(stretch)
+            if len(stretch) <= LONGEST_KNOWN:
+                if len(known) >= MOST_KNOWN:
+                    known.clear()
+                known[stretch] = found
+        return found
+
+    def of_stretches(texts: pa.Array) -> Tokens:
+        """Texts of which each different stretch is analyzed once."""
+        codes: dict[str, int] = {}
+        flat: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts.to_pylist()):
+            if text:
+                parts = reader.stretches(text)
+                counts[i] = len(parts)
+                flat += [codes.setdefault(s, len(codes)) for s in parts]
+        made = [cut(s) for s in codes]
+        words = pa.array([x for tokens, _ in made for x, _ in tokens], pa.string()).dictionary_encode()
+        inner = np.array([p for tokens, _ in made for _, p in tokens], np.int64)
+        sizes, taken, which = np.array([len(tokens) for tokens, _ in made], np.int64), np.array([n for _, n in made], np.int64), np.array(flat, np.int64)
+        before = np.concatenate([[0], np.cumsum(taken[which])])
+        base = before[:-1] - np.repeat(before[np.cumsum(counts) - counts], counts)
+        each, ends = sizes[which], np.cumsum(sizes[which])
+        token = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each) + np.arange(each.sum())
+        lexemes = pa.DictionaryArray.from_arrays(words.indices.take(pa.array(token)), words.dictionary)
+        return lexemes, inner[token] + np.repeat(base, each), np.repeat(np.repeat(np.arange(len(texts)), counts), each), len(texts)
+
     def of_texts(texts: pa.Array) -> Tokens:
         found = [reader.tokens(t) if t else [] for t in texts.to_pylist()]
         row = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -80,7 +131,7 @@ def _reader(kind: str | TextConfig | Analyzer, text: str) -> tuple[Column, Calla
 
     if isinstance(reader, TextConfig) and reader.filter is None and reader.dictionary is None:
         return F.coalesce(plain_tokens(text), F.array().cast("array<string>")), of_words
-    return F.col(text), of_texts
+    return F.col(text), of_stretches if isinstance(reader, Analyzer) else of_texts
 
 
 def _entries(kind: str | TextConfig | Analyzer, text: str) -> Column:
@@ -90,7 +141,8 @@ def _entries(kind: str | TextConfig | Analyzer, text: str) -> Column:
     @F.arrow_udf(_ENTRIES)
     def group(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield _as_entries(read(batch))
+            for start, length in slices(_sizes(batch), SLICE_BYTES):
+                yield _as_entries(read(batch.slice(start, length)))
 
     return F.when(F.col(text).isNotNull(), group(brought))
 
@@ -106,8 +158,11 @@ def vectors(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple", id_co
 
 
 def unnest(vectors: DataFrame, id_col: str = "doc_id", tsv: str = "tsv") -> DataFrame:
-    """(id, lexeme, positions): a row for each lexeme of each vector."""
-    return vectors.select(F.col(id_col), F.explode(tsv).alias("lexeme", "positions"))
+    """(id, lexeme, positions): a row for each lexeme of each vector.
+
+    explode() alone would have Spark filter by the vector's size first, and so make vectors that aren't stored twice.
+    """
+    return vectors.select(F.col(id_col), F.explode_outer(tsv).alias("lexeme", "positions")).where("lexeme IS NOT NULL")
 
 
 def build_postings(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,8 +171,10 @@ def build_postings(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, lexemes, lists = grouped(*read(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lexemes, lists], names=[id_col, "lexeme", "positions"])
+            ids, brought = batch.columns
+            for start, length in slices(_sizes(brought), SLICE_BYTES):
+                row, lexemes, lists = grouped(*read(brought.slice(start, length)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + start)), lexemes, lists], names=[id_col, "lexeme", "positions"])
 
     made = docs.select(F.col(id_col), F.col(text_col).alias("text")).where("text is not null").select(id_col, brought.alias("brought"))
     return made.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lexeme string, positions array<int>")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from spanfold.plans import evaluate
 from spanfold.plans.lang import QueryError, compile_query
 from spanfold.plans.resolve import Resolver
 from spanfold.plans.select import query_exact, query_native
-from spanfold.sources.index import _table_name, build_postings, read_ids, read_postings, script_words, to_vector, unnest, vectors, vocabulary, write_index, write_postings
+from spanfold.sources.index import SLICE_BYTES, _reader, _sizes, _table_name, build_postings, read_ids, read_postings, script_words, slices, to_vector, unnest, vectors, vocabulary, write_index, write_postings
 from spanfold.streaming.search import append_postings, matching
 
 
@@ -304,3 +306,35 @@ def test_regular_expressions_are_checked_in_the_dialect_that_runs(spark):
     held = vectors(table(spark, ["re_d 12"]))
     assert held.where(recheck("##[[:word:]]+##")).count() == 1
     assert held.where(recheck(r"##\m[[:digit:]]{2}\M##")).count() == 1
+
+
+def test_analyzed_stretches_are_the_tokens_of_the_whole_text():
+    """A text is cut at spaces where no token reaches over one, and stays whole where one may."""
+    rng = random.Random(7)
+    atoms = ["a", "B-c", "x.y", "R&D", "l'amour", "http://a.b/c?d", "me@x.org", " ", " ", "\n", "\u3000", "é", "\u0301", "\u200d", "🎂", "🏽", "🇩🇪", "日本", "5.", "(w)", "_", "-", "'"]
+    for name in ("icu", "unicode", "icu_accent", "icu_no_emoji", "icu:english_stem"):
+        reader = source(name)
+        for _ in range(2_000):
+            text = "".join(rng.choice(atoms) for _ in range(rng.randrange(14)))
+            got, at = [], 0
+            for stretch in reader.stretches(text):
+                tokens, n = reader.cut(stretch)
+                got, at = got + [(x, p + at) for x, p in tokens], at + n
+            assert got == reader.tokens(text), ascii(text)
+
+
+def test_texts_are_read_in_slices_of_bounded_bytes():
+    assert list(slices(np.array([3, 3, 3, 9, 0, 1]), 4)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(slices(np.array([], np.int64), 4)) == []
+    texts = pa.array(["word " * 2_000] * 1_000 + [None, ""])
+    for kind in ("icu", "english"):
+        _, read = _reader(kind, "text")
+        for start, length in slices(_sizes(texts), SLICE_BYTES):
+            assert len(read(texts.slice(start, length))[0]) <= SLICE_BYTES // 5 + 2_000
+            break
+
+
+def test_unnesting_makes_vectors_once(spark):
+    held = unnest(vectors(table(spark, ["a b a", None, ""]), "icu"))
+    assert held._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in held.collect()) == [(0, "a", [1, 3]), (0, "b", [2])]
