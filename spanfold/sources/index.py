@@ -182,16 +182,17 @@ def build_postings(docs: DataFrame, kind: str | TextConfig | Analyzer = "simple"
 
 # --- the stored index
 
-#: Bytes of text for which an index gets another bucket.
-BUCKET_BYTES = 256 << 20
+#: Bytes of input files for which an index gets another bucket: few enough for a task to sort their postings, some 17 times as many bytes, in memory.
+BUCKET_BYTES = 16 << 20
 
 
 def _buckets(docs: DataFrame, buckets: int | None) -> int:
-    """How many buckets an index of these texts gets: one a shuffle partition, and one for BUCKET_BYTES of input at least."""
+    """How many buckets an index of these texts gets: one a shuffle partition, and one for BUCKET_BYTES of the tables that they come from at least."""
     if buckets:
         return buckets
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    known = size if size < 1 << 60 else 0  # a table that is no file has the largest number for its size
+    tables = docs._jdf.queryExecution().optimizedPlan().collectLeaves()  # Spark takes the columns that are read for a share of these, by their types alone
+    sizes = [int(str(tables.apply(i).stats().sizeInBytes())) for i in range(tables.size())]
+    known = sum(size for size in sizes if size < 1 << 60)  # a table that is no file has the largest number for its size
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // BUCKET_BYTES), 100_000))
 
 

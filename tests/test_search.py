@@ -12,7 +12,7 @@ from spanfold.plans import evaluate
 from spanfold.plans.lang import QueryError, compile_query
 from spanfold.plans.resolve import Resolver
 from spanfold.plans.select import query_exact, query_native
-from spanfold.sources.index import SLICE_BYTES, _reader, _sizes, _table_name, build_postings, read_ids, read_postings, script_words, slices, to_vector, unnest, vectors, vocabulary, write_index, write_postings
+from spanfold.sources.index import SLICE_BYTES, _buckets, _reader, _sizes, _table_name, build_postings, read_ids, read_postings, script_words, slices, to_vector, unnest, vectors, vocabulary, write_index, write_postings
 from spanfold.streaming.search import append_postings, matching
 
 
@@ -338,3 +338,14 @@ def test_unnesting_makes_vectors_once(spark):
     held = unnest(vectors(table(spark, ["a b a", None, ""]), "icu"))
     assert held._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(tuple(r) for r in held.collect()) == [(0, "a", [1, 3]), (0, "b", [2])]
+
+
+def test_buckets_follow_the_bytes_of_the_tables(spark, tmp_path, monkeypatch):
+    """The share that Spark takes two columns for, by their types alone, can be far from theirs."""
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "repeat(uuid(), 20) AS text", *(f"id AS c{i}" for i in range(30)))
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    read, held = spark.read.parquet(str(tmp_path / "docs")), sum(f.stat().st_size for f in (tmp_path / "docs").glob("*.parquet"))
+    monkeypatch.setattr("spanfold.sources.index.BUCKET_BYTES", 1 << 14)
+    assert held >> 14 > 16
+    assert _buckets(read.select("doc_id", "text"), None) >= held >> 14
+    assert _buckets(read.select("doc_id", "text"), 3) == 3
