@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanfold.functions.text import PLAIN
@@ -267,14 +267,19 @@ PARITY = ["op_term", "op_andnot", "op_prefix", "op_phrase", "op_exact", "op_with
 
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several queries: how many documents match over the index, and on how many index and vectors disagree (EXCEPT ALL both ways)."""
-    made = None
-    for name in PARITY:
-        a = search_postings(index(spark, sf_dir), DSL[name][0])
-        b = stored_vectors(spark, sf_dir).where(recheck(DSL[name][0])).select("doc_id")
-        both = a.exceptAll(b).unionAll(b.exceptAll(a)).select(F.lit(0).alias("m"), F.lit(1).alias("d")).unionAll(a.select(F.lit(1).alias("m"), F.lit(0).alias("d")))
-        row = both.agg(F.lit(name).alias("query"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("matches"), F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("disagreements"))
-        made = row if made is None else made.unionAll(row)
-    return made
+    held = stored_vectors(spark, sf_dir)
+    return disagreements(spark, {name: search_postings(index(spark, sf_dir), DSL[name][0]) for name in PARITY}, held, {name: recheck(DSL[name][0]) for name in PARITY})
+
+
+def disagreements(spark: SparkSession, found: dict[str, DataFrame], held: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """(query, matches, disagreements) of ids found and of those of the rows held that pass a test, as bags. What is held is read once, for all tests."""
+    passed = F.filter(F.array(*(F.when(test, name) for name, test in tests.items())), lambda name: name.isNotNull())
+    rows = spark.createDataFrame([(name,) for name in found], "query string").selectExpr("query", "cast(null AS bigint) AS doc_id", "0 AS a", "0 AS b")
+    rows = rows.unionAll(held.select(F.explode_outer(passed).alias("query"), "doc_id", F.lit(0), F.lit(1)).where("query IS NOT NULL"))
+    for name, ids in found.items():
+        rows = rows.unionAll(ids.select(F.lit(name), "doc_id", F.lit(1), F.lit(0)))
+    each = rows.groupBy("query", "doc_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return each.groupBy("query").agg(F.sum("a").alias("matches"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("disagreements"))
 
 
 def by_source(operand: Operand) -> Query:

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from spanfold import cases, queries, relational
 
@@ -38,3 +39,14 @@ def test_the_entry_module():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
     assert len(QUERIES) == len(queries.QUERIES) + len(relational.QUERIES) + len(cases.QUERIES)
+
+
+def test_disagreements_are_those_of_bags(spark):
+    """As EXCEPT ALL both ways has them: rows that occur more often on one side, and null ids, count; a query without rows has its row."""
+    held = spark.createDataFrame([(1, True), (2, True), (2, True), (None, True), (4, False), (None, None)], "doc_id bigint, hit boolean")
+    found = {"some": [1, 2, 3, 3], "none": [], "null": [None, 4]}
+    ids = {name: spark.createDataFrame([(x,) for x in xs], "doc_id bigint") for name, xs in found.items()}
+    tests = {"some": F.col("hit"), "none": F.lit(False), "null": F.col("doc_id").isNull()}
+    got = queries.disagreements(spark, ids, held, tests)
+    assert sorted(tuple(r) for r in got.collect()) == [("none", 0, 0), ("null", 2, 2), ("some", 4, 4)]
+    assert got.dtypes == [("query", "string"), ("matches", "bigint"), ("disagreements", "bigint")]
