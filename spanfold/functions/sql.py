@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,19 +10,27 @@ from pyspark.sql import functions as F
 from spanfold.operators.exprs import LAST, Sql
 from spanfold.operators.search import compiled
 from spanfold.plans import evaluate
+from spanfold.sources.index import slices
 
 _TSV = "MAP<STRING, ARRAY<INT>>"
 
 
+#: Lexemes and positions of vectors that are Python's objects at a time.
+SLICE_ITEMS = 50_000
+
+
 def _matches(tsv: pa.Array, query: pa.Array) -> pa.Array:
     """Whether each vector matches its query, by the plain evaluator; null where either is null."""
     out = []
-    for vector, text in zip(tsv.to_pylist(maps_as_pydicts="strict"), query.to_pylist()):
-        if vector is None or text is None:
-            out.append(None)
-            continue
-        c = compiled(text)
-        out.append(evaluate.matches(c.tree, lambda leaf, c=c, vector=vector: evaluate.leaf_positions(vector, c.found[leaf].kind, c.found[leaf].values)))
+    ends = tsv.offsets.to_numpy()
+    items = np.diff(ends) + np.diff(tsv.items.offsets.to_numpy()[ends])
+    for start, length in slices(items, SLICE_ITEMS):
+        for vector, text in zip(tsv.slice(start, length).to_pylist(maps_as_pydicts="strict"), query.slice(start, length).to_pylist()):
+            if vector is None or text is None:
+                out.append(None)
+                continue
+            c = compiled(text)
+            out.append(evaluate.matches(c.tree, lambda leaf, c=c, vector=vector: evaluate.leaf_positions(vector, c.found[leaf].kind, c.found[leaf].values)))
     return pa.array(out, pa.bool_())
 
 

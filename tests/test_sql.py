@@ -1,5 +1,8 @@
 """The functions of SQL."""
 
+import pyarrow as pa
+
+from spanfold.functions import sql
 from spanfold.functions.sql import register_functions, search_function
 from spanfold.sources.index import vectors
 
@@ -25,3 +28,14 @@ def test_functions(spark):
     assert spark.sql("SELECT count(*) AS n FROM held JOIN close_by('b', 'a', 4) USING (doc_id)").first().n == 3
     plan = spark.sql("SELECT * FROM close_by('a', 'b', 2)")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Python") == held._jdf.queryExecution().executedPlan().toString().count("Python")  # none but that which makes the vectors
+
+
+def test_vectors_become_objects_a_slice_at_a_time(monkeypatch):
+    rows = [{"a": [1, 2], "b": [3]}, None, {}, {"c": [4]}, {"a": [5]}]
+    tsv = pa.array([None if r is None else list(r.items()) for r in rows], pa.map_(pa.string(), pa.list_(pa.int32())))
+    query = pa.array(["a <~1> b", "a", "!a", None, "b"])
+    for most in (1, 3, 100):
+        monkeypatch.setattr(sql, "SLICE_ITEMS", most)
+        assert sql._matches(tsv, query).to_pylist() == [True, None, True, None, False]
+        assert sql._matches(tsv.slice(2), query.slice(2)).to_pylist() == [True, None, False]
+        assert sql._matches(tsv.slice(5), query.slice(5)).to_pylist() == []
